@@ -9,7 +9,7 @@ from colloquy.catalog.cte import cte, oracle
 from colloquy.functions import lexicons as L, text as T
 from colloquy.functions.arrays import rows
 from colloquy.operators import sentences as S
-from colloquy.sources.standins import given, standin
+from colloquy.sources.standins import documents, given, standin
 
 
 # ---- SQL spellings of the shared steps --------------------------------------------------
@@ -136,7 +136,7 @@ cte("clean_sents_in", "select doc_id, ord as pos, piece as s from raw_pieces")
 
 
 def _docs(spark, sf):
-    return given(spark, sf, "documents").select("doc_id", "text")
+    return documents(spark, sf)
 
 
 def _talk(spark, sf):

@@ -273,13 +273,17 @@ def owner_action_chunk(statement: Column) -> Column:
 
 def owner_v3(c: Column) -> Column:
     """F10, third-engine dialect: a display name, 'Team' or 'Unassigned'."""
-    value = F.regexp_replace(clean(c), r"(?i)^(owner|assignee)\s*:\s*", "")
-    low = F.lower(F.trim(value))
-    return (
-        F.when(low.isin("", *L.V3_GENERIC_OWNERS, *L.V3_NOT_OWNERS), "Unassigned")
-        .when(low.isin("team", "the team"), "Team")
-        .otherwise(capital_first(F.trim(value)))
-    )
+    value = F.trim(F.regexp_replace(clean(c), r"(?i)^(owner|assignee)\s*:\s*", ""))
+
+    def named(s: Column) -> Column:
+        low = F.lower(s)
+        return (
+            F.when(low.isin("", *L.V3_GENERIC_OWNERS, *L.V3_NOT_OWNERS), "Unassigned")
+            .when(low.isin("team", "the team"), "Team")
+            .otherwise(capital_first(s))
+        )
+
+    return let(value, named)
 
 
 def owner_slot(c: Column) -> Column:

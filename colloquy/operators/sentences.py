@@ -59,23 +59,30 @@ def sentences_spoken(text: Column) -> Column:
 
     def line_parts(line: Column) -> Column:
         def parts(s: Column) -> Column:
-            prefix = F.concat(T.owner_v3(s["speaker"]), F.lit(": "))
             pieces = no_blank(F.transform(F.split(s["body"], STOP_BREAK), T.clean))
-            bare = (s["speaker"] == "")
             return F.transform(
                 pieces,
-                lambda p: F.when(bare | p.rlike(r"^[A-Z][A-Za-z .'-]{1,40}\s*:"), p).otherwise(
-                    F.concat(prefix, p)
-                ),
+                lambda p: F.when(
+                    (s["prefix"] == "") | p.rlike(r"^[A-Z][A-Za-z .'-]{1,40}\s*:"), p
+                ).otherwise(F.concat(s["prefix"], p)),
             )
 
-        speaker = F.regexp_extract(line, T.SPEAKER_V3, 1)
-        body = F.when(speaker != "", T.clean(F.regexp_extract(line, T.SPEAKER_V3, 2))).otherwise(line)
-        return let(F.struct(speaker.alias("speaker"), body.alias("body")), parts)
+        def bound(m: Column) -> Column:
+            spoken = m["speaker"] != ""
+            prefix = F.when(spoken, F.concat(T.owner_v3(m["speaker"]), F.lit(": "))).otherwise("")
+            body = F.when(spoken, T.clean(m["body"])).otherwise(line)
+            return let(F.struct(prefix.alias("prefix"), body.alias("body")), parts)
+
+        return let(
+            F.struct(
+                F.regexp_extract(line, T.SPEAKER_V3, 1).alias("speaker"),
+                F.regexp_extract(line, T.SPEAKER_V3, 2).alias("body"),
+            ),
+            bound,
+        )
 
     lines = no_blank(F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), T.clean))
-    rough = F.transform(F.flatten(F.transform(lines, line_parts)), T.clean)
-    return keep_first(rough, T.content_key)
+    return keep_first(F.flatten(F.transform(lines, line_parts)), T.content_key)
 
 
 # ---- sections ------------------------------------------------------------------------

@@ -363,12 +363,32 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out when a table arrives in fewer splits than there are cores.
+
+    Text work is heavy per row, so a small single-file table would keep one core busy.  A
+    large table has more splits than cores and is left where it lies: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+TEXT_HEAVY = ("transcripts", "notes_raw")
+
+
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     statement = STANDINS[name]
     frames = {t: given(spark, sf_dir, t) for t in base_tables(statement)}
+    if name in TEXT_HEAVY:
+        # the narrow base rows move, the text is made after
+        frames = {t: spread(f) for t, f in frames.items()}
     return spark.sql(statement, **frames)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(given(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def standin_sql(name: str) -> str:
     """The same statement over tables registered under their own names."""
     statement = STANDINS[name]
