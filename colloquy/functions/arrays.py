@@ -96,6 +96,12 @@ def best_first(items: Column, score: Fn, limit: int | Column | None = None) -> C
 
 
 def rows(df, items: Column, keys: list[str], value: str = "item", first: int = 1):
-    """One row per array item with its position, keyed by ``keys``."""
-    out = df.select(*keys, F.posexplode(items).alias("pos", value))
-    return out.withColumn("pos", (F.col("pos") + first).cast("long"))
+    """One row per array item with its position, keyed by ``keys``.
+
+    The outer form is used on purpose: an inner explode of a column makes the optimizer
+    add a size test and push it down to the scan, which computes the whole array twice.
+    """
+    out = df.select(*keys, F.posexplode_outer(items).alias("pos", value))
+    return out.filter(F.col("pos").isNotNull()).withColumn(
+        "pos", (F.col("pos") + first).cast("long")
+    )

@@ -294,8 +294,28 @@ NOISE = (
 
 
 def any_of(patterns: tuple[str, ...] | list[str]) -> str:
-    """One alternation of several patterns."""
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One alternation of several patterns.
+
+    A leading word boundary common to many of them is tested once per position instead of
+    once per pattern.
+    """
+    bounded = [p[2:] for p in patterns if p.startswith(r"\b") and not _top_level_bar(p)]
+    rest = [f"(?:{p})" for p in patterns if not p.startswith(r"\b") or _top_level_bar(p)]
+    if bounded:
+        rest.insert(0, r"\b(?:" + "|".join(bounded) + ")")
+    return "|".join(rest)
+
+
+def _top_level_bar(pattern: str) -> bool:
+    depth = 0
+    for i, ch in enumerate(pattern):
+        if i and pattern[i - 1] == "\\":
+            continue
+        depth += ch in "(["
+        depth -= ch in ")]"
+        if ch == "|" and depth == 0:
+            return True
+    return False
 
 
 def any_text(cues: tuple[str, ...] | list[str]) -> str:

@@ -29,8 +29,8 @@ def kind_rows(df: DataFrame, keys: list[str], kinds: dict[str, Column]) -> DataF
         )
 
     packed = [tag(kind, items) for kind, items in kinds.items()]
-    out = df.select(*keys, F.explode(F.concat(*packed)).alias("r"))
-    return out.select(*keys, "r.kind", F.col("r.pos").cast("long").alias("pos"), "r.x.*")
+    out = df.select(*keys, F.explode_outer(F.concat(*packed)).alias("r"))
+    return out.filter(F.col("r").isNotNull()).select(*keys, "r.kind", F.col("r.pos").cast("long").alias("pos"), "r.x.*")
 
 
 # ---- X02 -------------------------------------------------------------------------------

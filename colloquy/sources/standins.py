@@ -334,7 +334,23 @@ select o_orderkey as id, o_orderkey - o_orderkey % 2 as meeting_id, o_custkey as
 from {orders}
 """
 
+# Stored notes with their transcript, one row per meeting.
+def _select_list(statement: str) -> str:
+    """The expressions between SELECT and FROM of a one-table statement."""
+    body = statement.strip()
+    return body[len("select ") : body.rindex("\nfrom")]
+
+
+RECORDS = (
+    "select "
+    + _select_list(TRANSCRIPTS)
+    + ", "
+    + _select_list(NOTES_RAW.replace("as user_id", "as note_user_id").replace("as created_at", "as note_created_at"))
+    + "\nfrom {orders}\n"
+)
+
 STANDINS = {
+    "records": RECORDS,
     "transcripts": TRANSCRIPTS,
     "users": USERS,
     "meetings": MEETINGS,
@@ -373,7 +389,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-TEXT_HEAVY = ("transcripts", "notes_raw")
+TEXT_HEAVY = ("transcripts", "notes_raw", "records")
 
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
