@@ -89,6 +89,11 @@ MEETING_LINES = (
     ("o_orderkey % 4 = 2", "{A}: Should we keep lane {m20}?"),
     ("o_orderkey % 8 = 2", "{B}: We decided to keep lane {m20} open for the pilot teams."),
     ("o_orderkey % 6 = 5", "{B}: Open question: who will own the pricing page {m20}?"),
+    ("o_orderkey % 18 = 5", "Open questions: - who signs the supplier note {m20}? * when does lane {m30} ship?"),
+    ("o_orderkey % 16 = 9", "{A}: We still need to confirm whether the support page {m20} is final."),
+    ("o_orderkey % 21 = 4", "{B}, please verify the export job {m30} by five pm on July twenty first."),
+    ("o_orderkey % 22 = 9", "Known blocker: the import job {m30} is waiting on access, so longer files may run into time out {m20}."),
+    ("o_orderkey % 20 = 13", "We agreed to publish the weekly digest {m20}. The beta list and the git hub page come later."),
     ("o_orderkey % 14 = 3", "The product status is stable, and the landing page {m20} is live for the pilot."),
     (
         "o_orderkey % 5 = 4",
