@@ -340,6 +340,29 @@ from {orders}
 """
 
 # Stored notes with their transcript, one row per meeting.
+# Expected and produced items of a case.  Lists are '|' separated, action fields '~'.
+CASES = """
+select o_orderkey as case_id, case o_orderkey % 3 when 0 then 'short' when 1 then 'medium' else 'long' end as category,
+  case when o_orderkey % 31 = 30 then 'draft' else 'complete' end as ground_truth_status,
+  case when o_orderkey % 13 = 12 then '' else concat('Keep lane ', cast(o_orderkey % 20 as varchar(20)), ' open for the pilot teams',
+    case when o_orderkey % 3 = 0 then concat('|Publish the roadmap for batch ', cast(o_orderkey % 30 as varchar(20))) else '' end) end as expected_decisions,
+  concat('Priya~Review the order file ', cast(o_orderkey % 50 as varchar(20)), ' with finance~2026-06-', cast(10 + o_orderkey % 9 as varchar(20)),
+    '|Unassigned~Update the rollout note and the test report~No deadline stated',
+    case when o_orderkey % 4 = 0 then concat('|Jordan~Send the pricing sheet ', cast(o_orderkey % 20 as varchar(20)), '~') else '' end,
+    case when o_orderkey % 6 = 1 then '|Alex~TBD after transcript review~TBD' else '' end) as expected_actions,
+  case when o_orderkey % 5 = 0 then '' else concat('Batch ', cast(o_orderkey % 30 as varchar(20)), ' may delay delivery') end as expected_risks,
+  case when o_orderkey % 7 = 0 then '' else concat('The meeting reviewed order ', cast(o_orderkey % 50 as varchar(20)), ' and the pilot lanes') end as expected_context,
+  concat('We keep lane ', cast(o_orderkey % 20 as varchar(20)), ' open', case when o_orderkey % 2 = 0 then '|Use email as the support channel' else '|Keep lane open for teams' end) as actual_decisions,
+  concat(case when o_orderkey % 7 = 0 then 'Morgan' else 'Priya' end, '~Review order file ', cast(o_orderkey % 50 as varchar(20)), case when o_orderkey % 5 = 1 then '' else ' with finance' end, '~by 2026-06-', cast(10 + o_orderkey % 8 as varchar(20)),
+    case when o_orderkey % 3 > 0 then '|Team~Update the rollout note~No deadline stated' else '' end,
+    case when o_orderkey % 8 = 0 then '|Jordan~send the pricing sheet~Friday' else '' end,
+    case when o_orderkey % 9 = 0 then '|~Book the travel desk~' else '' end) as actual_actions,
+  case when o_orderkey % 4 = 0 then '' else concat('Batch ', cast(o_orderkey % 30 as varchar(20)), ' may slip|Delivery could be late') end as actual_risks,
+  concat('Summary: the team reviewed order ', cast(o_orderkey % 50 as varchar(20)), ' and pilot lanes.') as actual_summary
+from {orders}
+"""
+
+
 def _select_list(statement: str) -> str:
     """The expressions between SELECT and FROM of a one-table statement."""
     body = statement.strip()
@@ -356,6 +379,7 @@ RECORDS = (
 
 STANDINS = {
     "records": RECORDS,
+    "cases": CASES,
     "transcripts": TRANSCRIPTS,
     "users": USERS,
     "meetings": MEETINGS,
@@ -394,7 +418,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-TEXT_HEAVY = ("transcripts", "notes_raw", "records")
+TEXT_HEAVY = ("transcripts", "notes_raw", "records", "cases")
 
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
