@@ -94,6 +94,9 @@ MEETING_LINES = (
     ("o_orderkey % 21 = 4", "{B}, please verify the export job {m30} by five pm on July twenty first."),
     ("o_orderkey % 22 = 9", "Known blocker: the import job {m30} is waiting on access, so longer files may run into time out {m20}."),
     ("o_orderkey % 20 = 13", "We agreed to publish the weekly digest {m20}. The beta list and the git hub page come later."),
+    ("o_orderkey % 6 = 4", "Owners today: Priya for pricing, Jordan for order file and demo script, and Alex for rollout note."),
+    ("o_orderkey % 9 = 2", "{A}: I accept the first action. I will upload the signed order file {m50} by Monday."),
+    ("o_orderkey % 12 = 5", "Marketing should draft the launch post {m20} this week. One risk is that the post {m20} is not clear."),
     ("o_orderkey % 14 = 3", "The product status is stable, and the landing page {m20} is live for the pilot."),
     (
         "o_orderkey % 5 = 4",
