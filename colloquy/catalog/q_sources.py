@@ -99,9 +99,12 @@ def s05(spark, sf):
 
 
 # embedded text for some cases, candidate files for most
-FILES_SQL = """select cast(o_orderkey as varchar(20)) as case_id, concat(cast(o_orderkey as varchar(20)), case k when 0 then '_transcript.md' when 1 then '_source.txt' when 2 then '_raw_transcript.txt' when 3 then '.md' else '_other.txt' end) as name,
-    case when (o_orderkey + k) % 7 = 0 then '  ' else concat('File ', cast(k as varchar(20)), ' of ', cast(o_orderkey as varchar(20)), ' ') end as text
-    from {orders}, (select 0 as k union all select 1 union all select 2 union all select 3 union all select 4) f where (o_orderkey + k) % 3 > 0 and o_orderkey % 10 <> k"""
+_KINDS = ("_transcript.md", "_source.txt", "_raw_transcript.txt", ".md", "_other.txt")
+FILES_SQL = " union all ".join(
+    f"select cast(o_orderkey as varchar(20)) as case_id, concat(cast(o_orderkey as varchar(20)), '{name}') as name, case when (o_orderkey + {k}) % 7 = 0 then '  ' "
+    f"else concat('File {k} of ', cast(o_orderkey as varchar(20)), ' ') end as text from {{orders}} where (o_orderkey + {k}) % 3 > 0 and o_orderkey % 10 <> {k}"
+    for k, name in enumerate(_KINDS)
+)
 cte("case_files", FILES_SQL.format(orders="orders"))
 
 
@@ -325,7 +328,7 @@ def p13(spark, sf):
 
 
 # ---- T11 ------------------------------------------------------------------------------------------------------
-@query("t11_incremental_notes_stream", oracle(CUE_SQL))
+@query("t11_incremental_notes", oracle(CUE_SQL))
 def t11(spark, sf):
     """New transcripts are read once, and each batch goes through the extractor."""
     orders = stream_table(spark, f"{sf}/orders.parquet")

@@ -39,7 +39,7 @@ def like_any(x: str, patterns) -> str:
 
 def content_key(x: str) -> str:
     inner = f"regexp_replace(lower({cleaned(x)}), '[^a-z0-9]+', ' ', 'g')"
-    return sq(f"regexp_replace({inner}, {lit(L.V3_KEY_STOP)}, ' ', 'g')")
+    return sq(f"regexp_replace({inner}, {lit(L.any_word(L.V3_KEY_STOP))}, ' ', 'g')")
 
 
 def pieces(x: str) -> str:

@@ -145,7 +145,9 @@ V3_INVALID_PHRASES = (
 V3_LANGUAGE = (
     r"\b(will|needs to|need to|should|must|has to|have to|follow up|action item|explicit action|recap action)\b"
 )
-V3_KEY_STOP = r"\b(the|a|an|to|and|or|of|for|with|by|on|in|at|today|tomorrow)\b"
+V3_KEY_STOP = (
+    "the", "a", "an", "to", "and", "or", "of", "for", "with", "by", "on", "in", "at", "today", "tomorrow",
+)
 V3_TASK_STOP = (
     "a", "an", "and", "as", "at", "by", "for", "has", "in", "of", "so", "that", "the", "to", "with",
 )
@@ -323,6 +325,11 @@ def any_text(cues: tuple[str, ...] | list[str]) -> str:
     return "|".join(re.escape(c).replace("\\ ", " ").replace("\\'", "'") for c in cues)
 
 
+def shortest(cues: tuple[str, ...] | list[str]) -> list[str]:
+    """Cues that hold no other cue: enough for a test of containment."""
+    return [c for i, c in enumerate(cues) if not any(o in c and (o != c or j < i) for j, o in enumerate(cues))]
+
+
 def any_word(words: tuple[str, ...] | list[str]) -> str:
     return r"\b(?:" + any_text(words) + r")\b"
 

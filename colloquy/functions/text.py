@@ -12,8 +12,8 @@ EDGE_V1 = r"[ \-•\t]+"
 
 
 def squash(c: Column) -> Column:
-    """Runs of white space to one space, ends trimmed."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Runs of white space to one space, ends trimmed; single spaces are left untouched."""
+    return F.trim(F.regexp_replace(c, r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def strip_edges(c: Column, chars: str = EDGE) -> Column:
@@ -39,7 +39,7 @@ def word_count(c: Column) -> Column:
 
 def has_any(c: Column, cues) -> Column:
     """Lower-cased text contains any of the literal cues."""
-    return F.lower(c).rlike(L.any_text(cues))
+    return F.lower(c).rlike(L.any_text(L.shortest(cues)))
 
 
 def matches_any(c: Column, patterns) -> Column:
@@ -78,11 +78,8 @@ def merge_key(c: Column) -> Column:
 
 def content_key(c: Column) -> Column:
     """Spaced key without articles, prepositions and today/tomorrow."""
-    return squash(
-        F.regexp_replace(
-            F.regexp_replace(F.lower(clean(c)), "[^a-z0-9]+", " "), L.V3_KEY_STOP, " "
-        )
-    )
+    found = F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " ")
+    return F.array_join(F.filter(found, lambda w: ~w.isin("", *L.V3_KEY_STOP)), " ")
 
 
 def token_set(c: Column, pattern: str, stop, min_len: int = 1) -> Column:

@@ -228,15 +228,14 @@ def billing_overview(subscriptions: DataFrame, attempts: DataFrame) -> DataFrame
         F.count_if(active).alias("active_subscriptions"),
         F.count(F.lit(1)).alias("total_subscriptions"),
     )
-    tries = attempts.agg(
-        F.count(F.lit(1)).alias("total_payment_attempts"),
-        F.count_if(F.col("status").isin(*SUCCESSFUL_ATTEMPTS)).alias(
-            "successful_payment_attempts"
-        ),
-        F.count_if(F.col("status").isin(*FAILED_ATTEMPTS)).alias("failed_payment_attempts"),
-    )
-    # two global aggregates: one row each, so the pairing is one row
-    return subs.withColumn("k", F.lit(1)).join(tries.withColumn("k", F.lit(1)), "k").drop("k")
+    status = F.col("status")
+    counts = {
+        "total_payment_attempts": F.count(F.lit(1)),
+        "successful_payment_attempts": F.count_if(status.isin(*SUCCESSFUL_ATTEMPTS)),
+        "failed_payment_attempts": F.count_if(status.isin(*FAILED_ATTEMPTS)),
+    }
+    # one-row aggregates come in as scalar subqueries, never as a join
+    return subs.withColumns({name: attempts.agg(n).scalar() for name, n in counts.items()})
 
 
 def newest_with_email(rows: DataFrame, users: DataFrame, n: int = 10) -> DataFrame:

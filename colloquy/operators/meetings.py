@@ -210,8 +210,7 @@ def overview(meetings: DataFrame, users: DataFrame, as_of: str) -> DataFrame:
         "success_rate_percent",
         F.when(finished > 0, F.round(100.0 * F.col("completed") / finished, 1)),
     )
-    people = users.agg(F.count(F.lit(1)).alias("total_users"))
-    return rated.withColumn("k", F.lit(1)).join(people.withColumn("k", F.lit(1)), "k").drop("k")
+    return rated.withColumn("total_users", users.agg(F.count(F.lit(1))).scalar())
 
 
 def with_user_email(meetings: DataFrame, users: DataFrame) -> DataFrame:

@@ -56,6 +56,11 @@ def sentences_local(text: Column) -> Column:
 
 def sentences_spoken(text: Column) -> Column:
     """Third-engine form: the speaker of a line is put before each of its sentences."""
+    return keep_first(spoken_pieces(text), T.content_key)
+
+
+def spoken_pieces(text: Column) -> Column:
+    """``sentences_spoken`` before its dedupe."""
 
     def line_parts(line: Column) -> Column:
         def parts(s: Column) -> Column:
@@ -82,7 +87,7 @@ def sentences_spoken(text: Column) -> Column:
         )
 
     lines = no_blank(F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), T.clean))
-    return keep_first(F.flatten(F.transform(lines, line_parts)), T.content_key)
+    return F.flatten(F.transform(lines, line_parts))
 
 
 # ---- sections ------------------------------------------------------------------------
@@ -160,12 +165,15 @@ def begin_middle_end(items: Column) -> Column:
 
 def covered_sentences(text: Column) -> Column:
     """Sentences of the selected sections first, then all, each once."""
-    picked = begin_middle_end(sections(text))
-    part = F.array_join(F.transform(picked, lambda s: s["text"]), "\n")
-    first = F.when(F.size(picked) >= 3, sentences_spoken(part)).otherwise(
-        F.array().cast("array<string>")
-    )
-    return keep_first(F.concat(first, sentences_spoken(text)), T.content_key)
+    def pieces(picked: Column) -> Column:
+        part = F.array_join(F.transform(picked, lambda s: s["text"]), "\n")
+        first = F.when(F.size(picked) >= 3, spoken_pieces(part)).otherwise(
+            F.array().cast("array<string>")
+        )
+        return F.concat(first, spoken_pieces(text))
+
+    # one dedupe over both lists keeps the same sentences as one per list and one more
+    return keep_first(let(begin_middle_end(sections(text)), pieces), T.content_key)
 
 
 # ---- chunks --------------------------------------------------------------------------
@@ -316,9 +324,8 @@ def tokens_local(sentence: Column) -> Column:
 
 def content_tokens(sentence: Column) -> Column:
     """Tokens that count for word frequency: not a stop word, longer than two."""
-    stop = F.array(*[F.lit(w) for w in L.LOCAL_STOP])
     return F.filter(
-        tokens_local(sentence), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)
+        tokens_local(sentence), lambda w: (F.length(w) > 2) & ~w.isin(*L.LOCAL_STOP)
     )
 
 

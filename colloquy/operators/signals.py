@@ -69,13 +69,15 @@ def cue_actions(sents: Column, cues=L.SIGNAL_ACTION, limit: int = 14) -> Column:
 
 def cue_signals(df: DataFrame) -> DataFrame:
     """Decisions, actions and risks by cue lists, each deduped on its token set."""
-    sents = S.sentences_signal(F.col("text"))
+    # a column of its own, so the three kinds share one split
+    split = df.withColumn("sents", S.sentences_signal(F.col("text")))
+    sents = F.col("sents")
     kinds = {
         "decision": F.transform(cue_decisions(sents), lambda s: item(s)),
         "action": cue_actions(sents),
         "risk": F.transform(cue_risks(sents), lambda s: item(s)),
     }
-    return kind_rows(df, ["doc_id"], kinds)
+    return kind_rows(split, ["doc_id"], kinds)
 
 
 # ---- X03, A12 --------------------------------------------------------------------------
