@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed values: alert thresholds
 ERROR_SHARE = 0.05
@@ -81,8 +81,6 @@ def backlog(jobs: DataFrame, length: str = "1 hour", threshold: int = BACKLOG) -
             "queue", F.col("ended_at").alias("at"), F.lit(-1).alias("delta")
         )
     )
-    from pyspark.sql import Window
-
     net = moves.groupBy("queue", F.window("at", length).alias("w")).agg(F.sum("delta").alias("net"))
     running = Window.partitionBy("queue").orderBy("window_start")
     return (
