@@ -204,9 +204,9 @@ SQL = """
 WITH digits AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
 fives AS (
   SELECT page_id, payload,
-    list_transform(range(8), i -> ('0x' || substr(hex, 5 * i + 1, 5))::INTEGER) AS parts FROM digits),
+    list_transform(range(8), lambda i: ('0x' || substr(hex, 5 * i + 1, 5))::INTEGER) AS parts FROM digits),
 told AS (
-  SELECT page_id, payload, array_to_string(list_transform(range(32), i ->
+  SELECT page_id, payload, array_to_string(list_transform(range(32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER, 1)), '')
     AS payload_digest FROM fives)
 SELECT page_id, strlen(payload) AS payload_bytes, payload_digest,
