@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colloquy.session import fresh_path
 
+BATCH_BYTES = 4 << 20
+
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
@@ -31,7 +36,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Runner], Runner]:
     return add
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that start on this file system find the package.
+
+    A cluster whose machines do not see this folder gets the package by ``--py-files``.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,3 +63,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+
+
+def batches_by_bytes(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most`` bytes each; a longer text is a range of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    begin, total = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and total + n > most:
+            yield begin, i
+            begin, total = i, 0
+        total += n
+    if len(sizes) > begin:
+        yield begin, len(sizes)

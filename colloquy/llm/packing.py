@@ -35,13 +35,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from colloquy.llm.common import query, stored, table
+from colloquy.llm.common import batches_by_bytes, query, stored, table
 
 LENGTH = 4096
 GROUP_SIZE = 1024
 SEED = 7
 END_ID = 2
-BATCH_BYTES = 4 << 20
 CACHE_WORDS = 1_500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -144,19 +143,6 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def batches_by_bytes(texts: pa.Array, most: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes each; a longer text is a range of its own."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    begin, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > begin and total + n > most:
-            yield begin, i
-            begin, total = i, 0
-        total += n
-    if len(sizes) > begin:
-        yield begin, len(sizes)
-
-
 def piece_writer(path: str, end_id: int, length: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = chunk_tokenizer(path)
