@@ -1,6 +1,6 @@
 """Import every module with a registered query, to fill the registry."""
 
-from colloquy.llm import html_text, media, packing, quality, simhash, topk, url_filters, warc  # noqa: F401
+from colloquy.llm import html_text, media, packing, pieces, quality, simhash, topk, url_filters, warc  # noqa: F401
 from colloquy.llm.common import REGISTRY
 
 __all__ = ["REGISTRY"]
