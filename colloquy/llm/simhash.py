@@ -4,6 +4,9 @@ A fingerprint has a bit set if more than half of the hashes of the document's wo
 have it set.  Documents are linked if their fingerprints differ in at most ``radius`` bits; a
 component is all that links reach.
 
+``copies`` is the form for a pipeline: fingerprints propose, and the similarity of whole texts
+decides.
+
 Search, over distinct fingerprints only: 64 bits are cut into ``radius + 2`` parts, so two
 fingerprints within the radius agree in at least two parts.  Every fingerprint goes into one
 bucket per pair of parts, and no link is missed.  A bucket of more than ``hot`` fingerprints is
@@ -147,10 +150,13 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def links_of_large(values: np.ndarray, bits: list[int], radius: int) -> np.ndarray:
-    """The least index that each value of one bucket reaches; each value is compared once."""
+def links_of_large(values: np.ndarray, bits: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each value of one bucket the least index that it reaches, and the nearest other value.
+
+    Each value is compared once; a value with no other in reach is its own nearest.
+    """
     planes, n = planes_of(values, bits), len(values)
-    label = np.full(n, -1)
+    label, closest = np.full(n, -1), np.arange(n)
     for seed in range(n):
         if label[seed] >= 0:
             continue
@@ -159,14 +165,17 @@ def links_of_large(values: np.ndarray, bits: list[int], radius: int) -> np.ndarr
             i = queue.pop()
             flip = (values[i] >> np.array(bits, np.uint64)) & np.uint64(1)
             near = lanes_set(within(planes, flip.astype(bool), radius), n)
+            others = near[near != i]
+            if len(others):
+                closest[i] = others[np.bitwise_count(values[others] ^ values[i]).argmin()]
             new = near[label[near] < 0]
             label[new] = seed
             queue.extend(new.tolist())
-    return label
+    return label, closest
 
 
-def links_of_small(values: np.ndarray, group: np.ndarray, bits: list[int], radius: int) -> np.ndarray:
-    """The same for many small buckets in a row; ``group`` numbers them. Lanes are pairs."""
+def pairs_of_small(values: np.ndarray, group: np.ndarray, bits: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of many small buckets in a row; ``group`` numbers them. Lanes are pairs."""
     flip, a, b = np.zeros(len(bits), bool), [], []
     for shift in range(1, len(values)):
         at = np.flatnonzero(group[shift:] == group[:-shift])
@@ -175,7 +184,7 @@ def links_of_small(values: np.ndarray, group: np.ndarray, bits: list[int], radiu
         near = lanes_set(within(planes_of(values[at] ^ values[at + shift], bits), flip, radius), len(at))
         a.append(at[near])
         b.append(at[near] + shift)
-    return forest(np.concatenate([*a, []]).astype(int), np.concatenate([*b, []]).astype(int), len(values))
+    return np.concatenate([*a, []]).astype(int), np.concatenate([*b, []]).astype(int)
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,7 +205,9 @@ def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
         yield kept[0], kept[1]
 
 
-def linker(radius: int) -> Callable:
+def linker(radius: int, direct: bool) -> Callable:
+    """Links that connect what is in reach; with ``direct`` each link itself is within the radius."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for masks, fps in whole_buckets(batches):
             a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
@@ -210,13 +221,15 @@ def linker(radius: int) -> Callable:
                 some = (size > 1) & (size <= SMALL)
                 small = values[some]
                 if len(small):
-                    root = links_of_small(small, number[some], bits, radius)
-                    a.append(small)
-                    b.append(small[root])
+                    i, j = pairs_of_small(small, number[some], bits, radius)
+                    if not direct:
+                        i, j = np.arange(len(small)), forest(i, j, len(small))
+                    a.append(small[i])
+                    b.append(small[j])
                 for g in np.unique(number[size > SMALL]):
                     large = values[number == g]
                     a.append(large)
-                    b.append(large[links_of_large(large, bits, radius)])
+                    b.append(large[links_of_large(large, bits, radius)[int(direct)]])
             a, b = np.concatenate(a), np.concatenate(b)
             linked = a != b
             yield pa.record_batch([pa.array(x[linked].view(np.int64)) for x in (a, b)], names=["a", "b"])
@@ -250,11 +263,15 @@ def buckets(nodes: DataFrame, radius: int, hot: int, depth: int = 3) -> DataFram
     return rows if done is None else done.unionAll(rows)
 
 
-def link(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints (``fp``) within the radius."""
+def link(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT, direct: bool = False) -> DataFrame:
+    """Edges (a, b) that connect exactly the distinct fingerprints (``fp``) within the radius.
+
+    With ``direct`` the edges are themselves within the radius, for a check to follow: all of
+    them in small buckets, each fingerprint's nearest in large ones.
+    """
     rows = buckets(nodes.select("fp"), radius, hot)
     return rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").select("mask", "fp").mapInArrow(
-        linker(radius), "a long, b long"
+        linker(radius, direct), "a long, b long"
     )
 
 
@@ -269,6 +286,116 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, h
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_set_fingerprints(text: str, seeds: int) -> list[int]:
+    """One fingerprint per seed over the distinct words of a text."""
+    words = np.unique(shingle_hashes(text, 1))
+    found = []
+    for seed in range(seeds):
+        h = words ^ np.uint64(seed * 0x9E3779B97F4A7C15 & ALL)
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        found.append(majority(h ^ (h >> np.uint64(32))))
+    return found
+
+
+def set_fingerprinter(seeds: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_set_fingerprints(t.as_py() or "", seeds) for t in batch.column("text")]
+            own = [batch.column(c) for c in ("t1", "t2", "doc_id")]
+            yield pa.record_batch([*own, pa.array(found, pa.list_(pa.int64()))], names=["t1", "t2", "doc_id", "fps"])
+
+    return run
+
+
+def likeness(words: int, least: float) -> Callable:
+    """The pairs whose sets of word shingles have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            texts, alike = (batch.column("text_a"), batch.column("text_b")), []
+            for i, pair in enumerate(zip(a, b, strict=True)):
+                sets = []
+                for node, column in zip(pair, texts, strict=True):
+                    if node not in seen:
+                        if len(seen) > 256:
+                            seen.clear()
+                        seen[node] = np.unique(shingle_hashes(column[i].as_py() or "", words))
+                    sets.append(seen[node])
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                alike.append(both >= least * max(1, len(sets[0]) + len(sets[1]) - both))
+            kept = pa.array(alike, pa.bool_())
+            yield pa.record_batch([batch.column(c).filter(kept) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def text_key(text: str) -> dict:
+    """Two hashes that stand for a text (null counts as empty)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return {"t1": F.xxhash64(whole), "t2": F.xxhash64(F.lit(7), whole)}
+
+
+def copies(
+    docs: DataFrame, words: int = WORDS, similarity: float = 0.8, radius: int = 4, seeds: int = 4, hot: int = HOT
+) -> DataFrame:
+    """(t1, t2, doc_id, rows, keep): for each text and id, how many rows, and whether it stays.
+
+    Documents are alike if their sets of word shingles have that similarity.  Equal texts are
+    alike at once.  For others, fingerprints over the distinct words, one per seed, propose
+    pairs within the radius of any seed (0.99 of the pairs above 0.8 on the test tables), and
+    the similarity of each proposed pair is computed from the whole texts.  Of each component
+    the least id stays, of equal ids the least hash.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(text_key("text"))
+    prints = stored(rows.mapInArrow(set_fingerprinter(seeds), "t1 long, t2 long, doc_id long, fps array<long>"), "prints")
+    one = prints.groupBy("t1", "t2").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("least"), F.first("fps").alias("fps"))
+    nodes = stored(one.withColumn("node", F.monotonically_increasing_id()), "texts")
+    edges = None
+    for seed in range(seeds):
+        marked = nodes.select("node", F.col("fps")[seed].alias("fp"))
+        leads = stored(marked.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
+        same = marked.join(leads, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+        near = link(leads, radius, hot, direct=True).distinct()
+        near = near.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a")
+        near = near.join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        found = same.unionAll(near)
+        edges = found if edges is None else edges.unionAll(found)
+    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    used = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
+    asked = nodes.join(used, "node").select("node", "t1", "t2", "least")
+    texts = rows.join(asked, ["t1", "t2"]).where(F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("least")).select("node", "text")
+    texts = stored(texts, "asked")
+    pairs = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    alike = pairs.select("a", "b", "text_a", "text_b").mapInArrow(likeness(words, similarity), "a long, b long")
+    roots = components(alike)
+    placed = nodes.join(roots, "node", "left").select("t1", "t2", "least", F.coalesce("root", "node").alias("root"))
+    best = placed.groupBy("root").agg(F.min(F.struct("least", "t1", "t2")).alias("best"))
+    # the text that stays, and the id under which it stays
+    stays = stored(best.select("best.t1", "best.t2", F.col("best.least").alias("least")), "stays")
+    counted = prints.groupBy("t1", "t2", "doc_id").agg(F.count("*").alias("rows"))
+    keep = F.coalesce(F.col("least") == F.coalesce("doc_id", F.lit(2**63 - 1)), F.lit(False))
+    return counted.join(stays, ["t1", "t2"], "left").select("t1", "t2", "doc_id", "rows", keep.alias("keep"))
+
+
+def without_copies(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of documents that are alike."""
+    keep = stored(copies(docs, **settings).where("keep").drop("keep"), "kept")
+    mine = docs.select("*", F.struct(*[c.alias(k) for k, c in text_key("text").items()], F.col("doc_id").cast("long").alias("doc_id")).alias("_key"))
+    asked = keep.select(F.struct("t1", "t2", F.col("doc_id").alias("doc_id")).alias("_asked"), F.col("rows").alias("_rows"))
+    here = mine.join(
+        asked,
+        (mine["_key.t1"] == asked["_asked.t1"]) & (mine["_key.t2"] == asked["_asked.t2"]) & mine["_key.doc_id"].eqNullSafe(asked["_asked.doc_id"]),
+    )
+    single = here.where("_rows = 1").select(*[f"`{c}`" for c in docs.columns])
+    # rows that are repeated as a whole, or share id and text: one stays
+    several = here.where("_rows > 1").dropDuplicates(["_asked"]).select(*[f"`{c}`" for c in docs.columns])
+    return single.unionAll(several)
+
+
 @query("op10_simhash")
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)

@@ -33,7 +33,7 @@ too, and all joins are plain equi joins that adaptive execution splits.
 Defined cases: a null or empty text, or one shorter than a window, loses nothing; a repeated row
 repeats all its windows; a document with a null id is treated as any other; an empty table gives
 no rows; texts are worked on one at a time, in blocks.  All columns of the input pass through;
-the operator's own start with an underscore and ``repeats_``.
+the operator's own start with an underscore.
 """
 
 from __future__ import annotations
@@ -338,11 +338,12 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 RESULT = (
-    "_spans array<struct<begin:long,end:long>>, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, _kept binary"
+    "_spans array<struct<begin:long,end:long>>, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, "
+    "_kept binary, _text string"
 )
 
 
-def result_of(data: bytes, spans: list[tuple[int, int]], keep: bool) -> dict:
+def result_of(data: bytes, spans: list[tuple[int, int]], keep: str) -> dict:
     runs = joined_spans(spans)
     borders = [0, *(x for run in runs for x in run), len(data)]
     kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
@@ -352,7 +353,9 @@ def result_of(data: bytes, spans: list[tuple[int, int]], keep: bool) -> dict:
         "_n_removed": len(data) - len(kept),
         "_n_spans": len(runs),
         "_kept_sha256": hashlib.sha256(kept).hexdigest(),
-        "_kept": kept if keep else None,
+        "_kept": kept if keep == "bytes" else None,
+        # a character that a cut leaves incomplete goes with the cut
+        "_text": kept.decode("utf-8", "ignore") if keep == "text" else None,
     }
 
 
@@ -363,10 +366,11 @@ RESULT_TYPES = {
     "_n_spans": pa.int64(),
     "_kept_sha256": pa.string(),
     "_kept": pa.binary(),
+    "_text": pa.string(),
 }
 
 
-def finisher(keep: bool, put_off: bool) -> Callable:
+def finisher(keep: str, put_off: bool) -> Callable:
     """Apply the spans; with ``put_off`` rows that wait for the sort keep their text instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,10 +397,10 @@ WANTED = "array<struct<start:long,n:int,anchor:int,gram:long,open:boolean,hot:bo
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: bool = True, hot: int = HOT, bucket: int = BUCKET
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "bytes", hot: int = HOT, bucket: int = BUCKET
 ) -> DataFrame:
     """All columns of ``docs`` (with doc_id and text) and ``_spans``, ``_n_bytes``, ``_n_removed``,
-    ``_n_spans``, ``_kept_sha256`` and, if ``keep``, the remaining bytes ``_kept``."""
+    ``_n_spans``, ``_kept_sha256`` and, as ``keep`` says, the remaining ``_kept`` bytes or ``_text``."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), text_bytes(F.col("text")).alias("data"))
     rows = rows.withColumns({"t1": F.xxhash64("data"), "t2": F.xxhash64(F.lit(7), "data"), "doc_id": F.col("_row.doc_id").cast("long")})
     found = rows.where(F.octet_length("data") >= window).select("t1", "t2", "doc_id", "data")
@@ -457,7 +461,7 @@ def remove_repeats(
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, keep=False).select(
+    return remove_repeats(docs, keep="").select(
         "doc_id",
         F.col("_n_bytes").alias("n_bytes"),
         F.col("_n_removed").alias("n_removed"),
