@@ -82,19 +82,15 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found >> BITS, found & (PLACES - 1)
 
 
-def whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    for batch in batches:
-        texts = pc.fill_null(batch.column("text"), "")
-        for lo, hi in batches_by_bytes(texts):
-            yield batch.slice(lo, hi - lo), texts.slice(lo, hi - lo)
-
-
 def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in whole_texts(batches):
-        doc, place = ngrams(texts)
-        offsets = np.searchsorted(doc, np.arange(len(texts) + 1))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place, pa.int32()))
-        yield pa.record_batch([batch.column("shard"), batch.column("quality"), lists], names=["shard", "quality", "places"])
+    for batch in batches:
+        whole = pc.fill_null(batch.column("text"), "")
+        for lo, hi in batches_by_bytes(whole):
+            doc, place = ngrams(whole.slice(lo, hi - lo))
+            offsets = np.searchsorted(doc, np.arange(hi - lo + 1))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place, pa.int32()))
+            own = [batch.column(c).slice(lo, hi - lo) for c in ("shard", "quality")]
+            yield pa.record_batch([*own, lists], names=["shard", "quality", "places"])
 
 
 def to_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,17 +224,21 @@ def margin_writer(model: Model) -> Callable:
 
 def score_writer(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in whole_texts(batches):
-            score = model.score(model.margins(*ngrams(texts), len(texts)))
-            names = batch.schema.names
-            yield pa.record_batch([*batch.columns, pa.array(score)], names=[*names, "_score"])
+        for batch in batches:
+            rows = batch.column("row")
+            texts = pc.fill_null(rows.field("text"), "")
+            for lo, hi in batches_by_bytes(texts):
+                some = texts.slice(lo, hi - lo)
+                score = model.score(model.margins(*ngrams(some), len(some)))
+                yield pa.record_batch([rows.slice(lo, hi - lo), pa.array(score)], names=["row", "score"])
 
     return run
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` and ``_score``."""
-    return docs.mapInArrow(score_writer(model), StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    """(row, score): each row of ``docs`` as a struct, whatever its columns are, and its score."""
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(score_writer(model), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -254,8 +254,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, learnable(table(spark, sf_dir, "labels")))
     return score_documents(docs, model).select(
-        "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
+        "row.doc_id",
+        held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

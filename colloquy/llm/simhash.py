@@ -384,16 +384,14 @@ def copies(
 def without_copies(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of documents that are alike."""
     keep = stored(copies(docs, **settings).where("keep").drop("keep"), "kept")
-    mine = docs.select("*", F.struct(*[c.alias(k) for k, c in text_key("text").items()], F.col("doc_id").cast("long").alias("doc_id")).alias("_key"))
-    asked = keep.select(F.struct("t1", "t2", F.col("doc_id").alias("doc_id")).alias("_asked"), F.col("rows").alias("_rows"))
-    here = mine.join(
-        asked,
-        (mine["_key.t1"] == asked["_asked.t1"]) & (mine["_key.t2"] == asked["_asked.t2"]) & mine["_key.doc_id"].eqNullSafe(asked["_asked.doc_id"]),
-    )
-    single = here.where("_rows = 1").select(*[f"`{c}`" for c in docs.columns])
-    # rows that are repeated as a whole, or share id and text: one stays
-    several = here.where("_rows > 1").dropDuplicates(["_asked"]).select(*[f"`{c}`" for c in docs.columns])
-    return single.unionAll(several)
+    key = F.struct(*[c.alias(k) for k, c in text_key("text").items()], F.col("doc_id").cast("long").alias("doc_id"))
+    mine = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    asked = keep.select(F.struct("t1", "t2", "doc_id").alias("asked"), "rows")
+    same = (F.col("key.t1") == F.col("asked.t1")) & (F.col("key.t2") == F.col("asked.t2"))
+    here = mine.join(asked, same & F.col("key.doc_id").eqNullSafe(F.col("asked.doc_id")))
+    # rows that share id and text: one stays
+    several = here.where("rows > 1").dropDuplicates(["asked"])
+    return here.where("rows = 1").select("row.*").unionAll(several.select("row.*"))
 
 
 @query("op10_simhash")

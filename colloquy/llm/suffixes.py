@@ -32,8 +32,9 @@ too, and all joins are plain equi joins that adaptive execution splits.
 
 Defined cases: a null or empty text, or one shorter than a window, loses nothing; a repeated row
 repeats all its windows; a document with a null id is treated as any other; an empty table gives
-no rows; texts are worked on one at a time, in blocks.  All columns of the input pass through;
-the operator's own start with an underscore.
+no rows; texts are worked on one at a time, in blocks.
+All columns of the input pass through in a
+struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -399,8 +400,9 @@ WANTED = "array<struct<start:long,n:int,anchor:int,gram:long,open:boolean,hot:bo
 def remove_repeats(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "bytes", hot: int = HOT, bucket: int = BUCKET
 ) -> DataFrame:
-    """All columns of ``docs`` (with doc_id and text) and ``_spans``, ``_n_bytes``, ``_n_removed``,
-    ``_n_spans``, ``_kept_sha256`` and, as ``keep`` says, the remaining ``_kept`` bytes or ``_text``."""
+    """For each row of ``docs`` (with doc_id and text): ``row``, all its columns but text, ``spans``,
+    ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, as ``keep`` says, the remaining
+    bytes ``kept`` or ``text``."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), text_bytes(F.col("text")).alias("data"))
     rows = rows.withColumns({"t1": F.xxhash64("data"), "t2": F.xxhash64(F.lit(7), "data"), "doc_id": F.col("_row.doc_id").cast("long")})
     found = rows.where(F.octet_length("data") >= window).select("t1", "t2", "doc_id", "data")
@@ -455,16 +457,10 @@ def remove_repeats(
     )
     late = late.mapInArrow(finisher(keep, False), f"_row {row_type}, {RESULT}")
     done = first.where("not _waits").select("_row", *RESULT_TYPES).unionAll(late)
-    return done.select("_row.*", *RESULT_TYPES)
+    return done.select(F.col("_row").alias("row"), *[F.col(c).alias(c[1:]) for c in RESULT_TYPES])
 
 
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, keep="").select(
-        "doc_id",
-        F.col("_n_bytes").alias("n_bytes"),
-        F.col("_n_removed").alias("n_removed"),
-        F.col("_n_spans").alias("n_spans"),
-        F.col("_kept_sha256").alias("kept_sha256"),
-    )
+    return remove_repeats(docs, keep="").select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score under the threshold; the model learns as in the query."""
     importable(spark)
     model = fit(docs, learnable(table(spark, sf_dir, "labels")))
-    return score_documents(docs, model).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return score_documents(docs, model).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     importable(spark)
     cut = remove_repeats(docs, keep="text")
-    found = cut.withColumn("text", F.col("_text"))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast("long"))
-    return found.select(*docs.columns)
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
