@@ -148,6 +148,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BI
     return Cascade(tuple(levels))
 
 
+def host_length(rule: Column) -> Column:
+    slash = F.instr(rule, "/")
+    return F.when(slash == 0, F.length(rule)).otherwise(slash - 1)
+
+
 def rule_frame(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> DataFrame:
     """Rules as (verdict, host and path in one text, such as ``net/de/``)."""
     return spark.createDataFrame(list(rules), "verdict string, rule string")
@@ -179,7 +184,7 @@ def filter_urls(
     keyed = blocks.attach(known.attach(keyed, "_known"), "_block")
     hits = F.transform(
         F.filter("_keys", lambda k: known.contains(k, "_known")),
-        lambda k: F.struct(F.length(k).alias("n"), F.instr(k, "/").alias("h"), k.alias("k")),
+        lambda k: F.struct(F.length(k).alias("n"), host_length(k).alias("h"), k.alias("k")),
     )
     rule = F.array_max(hits)["k"]
     verdict = F.when(F.col("rule").isNull(), unlisted).when(blocks.contains(F.col("rule"), "_block"), BLOCK)
@@ -199,7 +204,7 @@ def joined_rules(keyed: DataFrame, rules: DataFrame, unlisted: str) -> DataFrame
         .distinct()
         .join(one, "_k")
         .groupBy("_row")
-        .agg(F.max(F.struct(F.length("_k").alias("n"), F.instr("_k", "/").alias("h"), "_k", "_v")).alias("_best"))
+        .agg(F.max(F.struct(F.length("_k").alias("n"), host_length(F.col("_k")).alias("h"), "_k", "_v")).alias("_best"))
     )
     return (
         row.join(found, "_row", "left")
