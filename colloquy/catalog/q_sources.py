@@ -79,14 +79,13 @@ def s03(spark, sf):
 
 @query(
     "s04_manifest_driven_load",
-    oracle("select r.doc_id, r.summary from records r join cases c on c.case_id = r.doc_id where ground_truth_status = 'complete' and c.category <> 'long'"),
+    oracle("select r.doc_id, r.summary from records r join cases c on c.case_id = r.doc_id where ground_truth_status = 'complete'"),
 )
 def s04(spark, sf):
     docs = _document_files(spark, sf).withColumn(
         "folder_name", F.regexp_extract("file_path", r"(folder=\d+)/", 1)
     )
-    cases = standin(spark, sf, "cases").filter(F.col("category") != "long")
-    manifest = cases.select(
+    manifest = standin(spark, sf, "cases").select(
         F.col("case_id").alias("doc_id"), "ground_truth_status", F.concat(F.lit("folder="), (F.col("case_id") % 16).cast("string")).alias("folder_name")
     )
     return R.load_manifest(manifest, docs, ["folder_name", "doc_id"]).select("doc_id", "summary")
@@ -195,17 +194,19 @@ def s12(spark, sf):
 
 @query(
     "s13_replace_by_key_sink",
-    oracle("select meeting_id, id, summary from notes_raw where id % 2 = 0 and meeting_id % 6 <> 0 union all select meeting_id, id, 'new ' || summary from notes_raw where id % 2 = 1 and meeting_id % 6 = 0"),
+    oracle(
+        """select meeting_id, id, summary from notes_raw where id % 2 = 0 and meeting_id not in (select meeting_id from notes_raw where id % 2 = 1 and meeting_id % 6 = 0)
+        union all select meeting_id, id, 'new ' || summary from notes_raw where id % 2 = 1 and meeting_id % 6 = 0"""
+    ),
 )
 def s13(spark, sf):
     path, staging = fresh_path(spark, "notes"), fresh_path(spark, "staging")
     notes = standin(spark, sf, "notes_raw").select("meeting_id", "id", "summary")
     K.create_bucketed(notes.filter(F.col("id") % 2 == 0), path, "meeting_id", 16)
     new = notes.filter((F.col("id") % 2 == 1) & (F.col("meeting_id") % 6 == 0)).withColumn("summary", F.concat(F.lit("new "), "summary"))
-    # keys with a new row replace theirs; a key of this kind without one loses nothing
+    # keys with a new row lose their old ones; a key without one loses nothing
     K.replace_by_key(spark, path, new, "meeting_id", 16, staging)
-    out = spark.read.parquet(path).drop("bucket")
-    return out.filter((F.col("meeting_id") % 6 != 0) | F.col("summary").startswith("new "))
+    return spark.read.parquet(path).drop("bucket")
 
 
 @query(
@@ -214,33 +215,45 @@ def s13(spark, sf):
 )
 def s14(spark, sf):
     f = standin(spark, sf, "feedback").withColumn("improvement_text", K.blank_to_null(F.col("improvement_text")))
-    out = K.upsert(f.filter(F.col("id") % 3 > 0), f.filter(F.col("id") % 3 == 0), ["user_id", "meeting_id"], ["updated_at", "id"])
+    path, staging = fresh_path(spark, "feedback"), fresh_path(spark, "staging")
+    K.create_bucketed(f.filter(F.col("id") % 3 > 0), path, "meeting_id", 16)
+    K.upsert_into(spark, path, f.filter(F.col("id") % 3 == 0), ["user_id", "meeting_id"], ["updated_at", "id"], "meeting_id", 16, staging)
+    out = spark.read.parquet(path)
     return out.select("user_id", "meeting_id", "id", "usefulness", "most_useful", "improvement_text")
 
 
 @query(
     "s15_insert_if_absent_sink",
     oracle(
-        """select user_id, meeting_id, min(id) as id from upload_ledger n where status = 'started' and not exists (select 1 from upload_ledger o where o.user_id = n.user_id and o.meeting_id = n.meeting_id and o.counted_at is not null and o.deleted_at is null) group by 1, 2"""
+        """select user_id, meeting_id, id, false as appended from upload_ledger where status <> 'started' union all
+        select user_id, meeting_id, min(id) as id, true from upload_ledger n where status = 'started' and not exists (select 1 from upload_ledger o where o.user_id = n.user_id and o.meeting_id = n.meeting_id and o.counted_at is not null and o.deleted_at is null) group by 1, 2"""
     ),
 )
 def s15(spark, sf):
-    ledger = standin(spark, sf, "upload_ledger")
+    ledger, path = standin(spark, sf, "upload_ledger"), fresh_path(spark, "ledger")
+    cols = ["user_id", "meeting_id", "id", "counted_at", "deleted_at"]
+    started = F.col("status") == "started"
+    ledger.filter(~started).select(*cols, F.lit(False).alias("appended")).write.parquet(path)
     live = F.col("counted_at").isNotNull() & F.col("deleted_at").isNull()
-    new = ledger.filter(F.col("status") == "started").select("user_id", "meeting_id", "id")
-    return K.insert_if_absent(ledger, new, ["user_id", "meeting_id"], live, ["id"])
+    new = ledger.filter(started).select(*cols, F.lit(True).alias("appended"))
+    K.append_absent(spark, path, new, ["user_id", "meeting_id"], live, ["id"])
+    return spark.read.parquet(path).select("user_id", "meeting_id", "id", "appended")
 
 
 @query(
     "s16_cascade_delete",
-    oracle("select 'meetings' as tbl, count(*) as n from meetings where id not in (select id from meetings where status = 'ERROR') union all select 'notes', count(*) from notes_raw where meeting_id not in (select id from meetings where status = 'ERROR')"),
+    oracle("select 'meetings' as tbl, id from meetings where id not in (select id from meetings where status = 'ERROR') union all select 'notes', id from notes_raw where meeting_id not in (select id from meetings where status = 'ERROR')"),
 )
 def s16(spark, sf):
     meetings = standin(spark, sf, "meetings")
     gone = meetings.filter(F.col("status") == "ERROR").select("id")
-    left = K.cascade_delete({"meetings": (meetings, "id"), "notes": (standin(spark, sf, "notes_raw"), "meeting_id")}, gone, "id")
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("tbl", F.lit(name)) for name, df in left.items()]
-    return counts[0].unionByName(counts[1])
+    notes = standin(spark, sf, "notes_raw").select("id", "meeting_id")
+    paths = {name: fresh_path(spark, name) for name in ("meetings", "notes")}
+    meetings.select("id", "status").write.parquet(paths["meetings"])
+    notes.write.parquet(paths["notes"])
+    after = K.delete_from(spark, {"meetings": (paths["meetings"], "id"), "notes": (paths["notes"], "meeting_id")}, gone, "id", fresh_path(spark, "left"))
+    left = [spark.read.parquet(path).select(F.lit(name).alias("tbl"), "id") for name, path in after.items()]
+    return left[0].unionByName(left[1])
 
 
 @query(
@@ -289,12 +302,12 @@ _SKIP = "(" + "|".join(D.SKIPPED_KEYS) + ")"
 
 
 def _json(spark, sf):
-    return D.json_leaves(spark.sql(NOTES_JSON, orders=given(spark, sf, "orders")), "id", "payload")
+    return spark.sql(NOTES_JSON, orders=given(spark, sf, "orders"))
 
 
 @query("p14_json_flatten", oracle(f"""select id, text from json_leaf where not regexp_matches(k, '\\."?{_SKIP}"?(\\.|\\[|$)')"""))
 def p14(spark, sf):
-    return D.flatten_text(_json(spark, sf)).select("id", "text")
+    return D.flatten_text(_json(spark, sf), "id", "payload")
 
 
 @query(
@@ -304,7 +317,7 @@ def p14(spark, sf):
     ),
 )
 def p15(spark, sf):
-    return D.collect_by_key(_json(spark, sf), "id", ("decisions", "decision")).select("id", "text")
+    return D.collect_by_key(_json(spark, sf), "id", "payload", ("decisions", "decision"))
 
 
 FIELDS = {

@@ -14,46 +14,49 @@ def first_text(item: Column, fields: tuple[str, ...] = TEXT_FIELDS) -> Column:
     return F.coalesce(*[F.nullif(item[f], F.lit("")) for f in fields], F.lit(""))
 
 
-def json_leaves(df: DataFrame, key: str, payload: str, depth: int = 8) -> DataFrame:
-    """Every text leaf with the object keys on its way.
+NODES = "array<struct<keys:array<string>,v:variant>>"
+LEAVES = "array<struct<keys:array<string>,text:string>>"
 
-    Each level opens one layer of objects and arrays; a value still open after ``depth``
-    levels comes out as its JSON text, so nothing is lost.
+
+def leaf_array(payload: str) -> Column:
+    """Every text leaf of a JSON column with the object keys on its way, at any depth.
+
+    One fold inside the row: a step opens one layer of all that is still open.  There are at most
+    as many layers as opening brackets, and a step that finds nothing open does no work.
     """
-    spark = df.sparkSession
-    level = df.select(
-        key,
-        F.try_parse_json(F.col(payload)).alias("v"),
-        F.array().cast("array<string>").alias("keys"),
-    )
-    done = []
-    container = "schema_of_variant(v) like 'ARRAY%' or schema_of_variant(v) like 'OBJECT%'"
-    for _ in range(depth):
-        leaves = level.filter(f"v is not null and not ({container})")
-        done.append(leaves.select(key, "keys", F.expr("cast(v as string)").alias("text")))
-        level = spark.sql(
-            f"select t.{key}, e.value as v, case when e.key is null then t.keys else concat(t.keys, array(lower(e.key))) end as keys "
-            f"from {{t}} t, lateral variant_explode(t.v) e",
-            t=level.filter(container),
-        )
-    rest = level.filter("v is not null")
-    done.append(rest.select(key, "keys", F.to_json("v").alias("text")))
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out.filter(F.col("text").isNotNull())
-
-
-def flatten_text(leaves: DataFrame, skipped: tuple[str, ...] = SKIPPED_KEYS) -> DataFrame:
+    kind = "schema_of_variant(n.v)"
+    return F.expr(f"""
+        aggregate(
+          sequence(0, length({payload}) - length(translate({payload}, '{{[', ''))),
+          named_struct(
+            'open', filter(array(named_struct('keys', cast(array() as array<string>), 'v', try_parse_json({payload}))), n -> n.v is not null),
+            'done', cast(array() as {LEAVES})),
+          (s, i) -> if(size(s.open) = 0, s, named_struct(
+            'open', flatten(transform(s.open, n -> case
+              when {kind} like 'OBJECT%' then transform(map_entries(cast(n.v as map<string,variant>)),
+                e -> named_struct('keys', concat(n.keys, array(lower(e.key))), 'v', e.value))
+              when {kind} like 'ARRAY%' then transform(cast(n.v as array<variant>), x -> named_struct('keys', n.keys, 'v', x))
+              else cast(array() as {NODES}) end)),
+            'done', concat(s.done, transform(
+              filter(s.open, n -> not ({kind} like 'OBJECT%' or {kind} like 'ARRAY%')),
+              n -> named_struct('keys', n.keys, 'text', cast(n.v as string)))))),
+          s -> filter(s.done, l -> l.text is not null))""")
+
+
+def under(leaf: Column, keys: tuple[str, ...]) -> Column:
+    return F.arrays_overlap(leaf["keys"], F.array(*[F.lit(k) for k in keys]))
+
+
+def flatten_text(df: DataFrame, key: str, payload: str, skipped: tuple[str, ...] = SKIPPED_KEYS) -> DataFrame:
     """Leaves that lie under no id key."""
-    return leaves.filter(~F.arrays_overlap("keys", F.array(*[F.lit(k) for k in skipped])))
+    kept = F.filter("leaves", lambda leaf: ~under(leaf, skipped))
+    rows = df.withColumn("leaves", leaf_array(payload)).select(key, F.explode_outer(kept).alias("leaf"))
+    return rows.where("leaf is not null").select(key, "leaf.text")
 
 
-def collect_by_key(leaves: DataFrame, key: str, accepted: tuple[str, ...]) -> DataFrame:
+def collect_by_key(df: DataFrame, key: str, payload: str, accepted: tuple[str, ...]) -> DataFrame:
     """Leaves under an accepted key, or all leaves of a document that has none."""
-    marked = leaves.withColumn(
-        "hit", F.arrays_overlap("keys", F.array(*[F.lit(k) for k in accepted]))
-    )
-    # a flag per document: small, and reduced before it is joined back
-    has = marked.groupBy(key).agg(F.bool_or("hit").alias("any_hit"))
-    return marked.join(has, key).filter(F.col("hit") | ~F.col("any_hit")).drop("hit", "any_hit")
+    hit = F.exists("leaves", lambda leaf: under(leaf, accepted))
+    kept = F.filter("leaves", lambda leaf: under(leaf, accepted) | ~F.col("hit"))
+    rows = df.withColumn("leaves", leaf_array(payload)).withColumn("hit", hit)
+    return rows.select(key, F.explode_outer(kept).alias("leaf")).where("leaf is not null").select(key, "leaf.text")

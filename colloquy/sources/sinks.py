@@ -38,13 +38,7 @@ def replace_by_key(
     same = old.join(F.broadcast(touched), "bucket", "left_semi")
     kept = same.join(new.select(key).distinct(), key, "left_anti")
     kept.unionByName(fresh).write.mode("overwrite").parquet(staging)
-    (
-        spark.read.parquet(staging)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    swap_buckets(spark, staging, path)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -55,6 +49,43 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return best.select(*keys, "r.*")
 
 
+def upsert_into(
+    spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[str], bucket_key: str, buckets: int, staging: str
+) -> None:
+    """S14 in storage: only the buckets that get new rows are rewritten, by way of a staged copy."""
+    fresh = with_bucket(new, bucket_key, buckets)
+    touched = fresh.select("bucket").distinct()
+    # at most ``buckets`` rows, so the broadcast is bounded
+    same = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
+    upsert(same.select(*fresh.columns), fresh, keys, order).write.mode("overwrite").parquet(staging)
+    swap_buckets(spark, staging, path)
+
+
+def swap_buckets(spark: SparkSession, staging: str, path: str) -> None:
+    """Overwrite the buckets that the staged table has; other buckets stay as they are."""
+    writer = spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("bucket").parquet(path)
+
+
+def append_absent(spark: SparkSession, path: str, new: DataFrame, keys: list[str], live: Column, order: list[str]) -> None:
+    """S15 in storage: the rows that ``insert_if_absent`` lets in are appended."""
+    old = spark.read.parquet(path)
+    insert_if_absent(old, new, keys, live, order).select(*old.columns).write.mode("append").parquet(path)
+
+
+def delete_from(
+    spark: SparkSession, tables: dict[str, tuple[str, str]], deleted: DataFrame, key: str, target: str
+) -> dict[str, str]:
+    """S16 in storage: each stored table is written anew without the deleted keys.
+
+    A reader keeps the old files until it is given the new paths, which this returns.
+    """
+    left = cascade_delete({n: (spark.read.parquet(p), c) for n, (p, c) in tables.items()}, deleted, key)
+    for name, df in left.items():
+        df.write.parquet(f"{target}/{name}")
+    return {name: f"{target}/{name}" for name in left}
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
