@@ -338,7 +338,7 @@ cte(
     "j17_owner_hint_lookup",
     oracle(
         f"""select a.doc_id, a.pos, a.task, case when lower(trim(coalesce(a.owner, ''))) in ('team', 'unassigned', 'we', 'someone', 'everyone', '') then coalesce(h.owner, case when coalesce(a.owner, '') <> '' then a.owner else 'Team' end) else a.owner end as owner
-        from local_actions a left join (select a.doc_id, a.pos, arg_min(h.owner, h.ord) as owner from local_actions a join hints h on h.doc_id = a.doc_id and contains({norm_words_sql('a.task')}, h.keyword) group by 1, 2) h on h.doc_id = a.doc_id and h.pos = a.pos"""
+        from local_actions a left join (select a.doc_id, a.pos, arg_min(h.owner, h.ord) as owner from (select doc_id, pos, {norm_words_sql('task')} as words from local_actions) a join hints h on h.doc_id = a.doc_id and contains(a.words, h.keyword) group by 1, 2) h on h.doc_id = a.doc_id and h.pos = a.pos"""
     ),
 )
 def j17(spark, sf):

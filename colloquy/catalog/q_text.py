@@ -280,6 +280,11 @@ def f04(spark, sf):
     )
 
 
+EVAL_STOP = (
+    "a", "an", "the", "and", "or", "to", "of", "in", "on", "for", "with", "by", "is", "are",
+    "be", "will",
+)
+
 # each sentence of a transcript against the one before it
 cte(
     "sent_pairs",
@@ -287,6 +292,18 @@ cte(
 )
 
 
+# the token lists once per sentence, not once per pair
+cte(
+    "sent_tokens",
+    f"""select doc_id, pos, lower({sq('s')}) as low, {stripped('s')} as merged, {token_list('s', "[a-z0-9']+", L.POINT_STOP, 3)} as pointed,
+    {token_list('s', '[a-z0-9]+', EVAL_STOP)} as judged from signal_sents""",
+)
+cte(
+    "token_pairs",
+    "select a.doc_id, a.pos, a.low as la, b.low as lb, a.merged as ma, b.merged as mb, a.pointed as pa, b.pointed as pb, a.judged as ja, b.judged as jb from sent_tokens a join sent_tokens b on a.doc_id = b.doc_id and b.pos = a.pos + 1",
+)
+
+
 def _pairs(spark, sf):
     s = S.sentences_signal(F.col("text"))
     docs = _talk(spark, sf).select("doc_id", s.alias("ss"))
@@ -302,16 +319,11 @@ def _pairs(spark, sf):
     )
 
 
-def _similar_sql(a, b, stop=L.MERGE_STOP):
-    la, lb = f"lower({sq(a)})", f"lower({sq(b)})"
-    return f"case when {la} = '' or {lb} = '' then 0.0 when contains({lb}, {la}) or contains({la}, {lb}) then 1.0 else {overlap_sql(stripped(a, stop), stripped(b, stop))} end"
-
-
 @query(
     "f05_overlap_coefficient",
     oracle(
-        f"""select doc_id, pos, round({_similar_sql('a', 'b')}, 6) as similarity,
-        round({overlap_sql(token_list('a', "[a-z0-9']+", L.POINT_STOP, 3), token_list('b', "[a-z0-9']+", L.POINT_STOP, 3))}, 6) as point_overlap from sent_pairs"""
+        f"""select doc_id, pos, round(case when la = '' or lb = '' then 0.0 when contains(lb, la) or contains(la, lb) then 1.0 else {overlap_sql('ma', 'mb')} end, 6) as similarity,
+        round({overlap_sql('pa', 'pb')}, 6) as point_overlap from token_pairs"""
     ),
 )
 def f05(spark, sf):
@@ -324,17 +336,10 @@ def f05(spark, sf):
     )
 
 
-EVAL_STOP = (
-    "a", "an", "the", "and", "or", "to", "of", "in", "on", "for", "with", "by", "is", "are",
-    "be", "will",
-)
-
-
 @query(
     "f06_token_recall",
     oracle(
-        f"""select doc_id, pos, case when len(ea) = 0 then 1.0 else round(len(list_intersect(ea, eb)) / len(ea), 6) end as recall from (
-        select doc_id, pos, {token_list('a', '[a-z0-9]+', EVAL_STOP)} as ea, {token_list('b', '[a-z0-9]+', EVAL_STOP)} as eb from sent_pairs) t"""
+        "select doc_id, pos, case when len(ja) = 0 then 1.0 else round(len(list_intersect(ja, jb)) / len(ja), 6) end as recall from token_pairs"
     ),
 )
 def f06(spark, sf):
