@@ -114,14 +114,22 @@ def sentence_score(sentence: Column, chunk_tokens: Column, source: Column | None
 
 def chunk_lists(packed: Column) -> Column:
     """(chunk, item) structs to an array of (chunk, items) in chunk order."""
-    ids = F.array_distinct(F.transform(packed, lambda c: c["chunk"]))
-    return F.transform(
-        ids,
-        lambda k: F.struct(
-            k.alias("chunk"),
-            F.transform(F.filter(packed, lambda c: c["chunk"] == k), lambda c: c["item"]).alias("items"),
-        ),
-    )
+
+    def cut(p: Column) -> Column:
+        # chunks are runs of neighbours: each is a slice from its first position to the next one's
+        first = F.transform(p, lambda c, i: F.when((i == 0) | (F.get(p, i - 1)["chunk"] != c["chunk"]), i + 1))
+        return let(
+            F.concat(F.array_compact(first), F.array(F.size(p) + 1)),
+            lambda edges: F.transform(
+                F.slice(edges, F.lit(1), F.size(edges) - 1),
+                lambda a, k: F.struct(
+                    F.get(p, a - 1)["chunk"].alias("chunk"),
+                    F.transform(F.slice(p, a, F.get(edges, k + 1) - a), lambda c: c["item"]).alias("items"),
+                ),
+            ),
+        )
+
+    return let(packed, cut)
 
 
 def ranked_in_chunks(packed: Column, limit: int = 5) -> Column:
@@ -330,7 +338,7 @@ def action_objects(lines: Column, limit: int = 7) -> Column:
         def settle(s: Column) -> Column:
             own, task, due = s["owner"], s["task"], s["due"]
             bare = F.when(
-                (own == "Team") & F.lower(task).startswith("team "), F.trim(F.substring(task, 5, 100000))
+                (own == "Team") & F.lower(task).startswith("team "), F.trim(F.substring(task, F.lit(5), F.length(task)))
             ).otherwise(task)
             confidence = (
                 F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.45) + F.lit(0.1) * s["score"]))

@@ -201,25 +201,31 @@ def word_chunks(text: Column, size: int = 900) -> Column:
 def budget_chunk_ids(lengths: Column, budget: int) -> Column:
     """Chunk number of each piece; a piece that would pass the budget opens a chunk.
 
-    The state of the fold is three numbers per step, so its cost is linear.
+    The fold carries two numbers and the first position of each chunk, which grows only when a
+    chunk opens; the numbers of the pieces between are filled in afterwards.
     """
-    state = "struct<used:bigint,chunk:int,ids:array<int>>"
+    state = "struct<used:bigint,at:int,starts:array<int>>"
     start = F.struct(
         F.lit(0).cast("bigint").alias("used"),
-        F.lit(0).alias("chunk"),
-        F.array().cast("array<int>").alias("ids"),
+        F.lit(0).alias("at"),
+        F.array().cast("array<int>").alias("starts"),
     )
 
     def step(s: Column, n: Column) -> Column:
-        fits = (F.size(s["ids"]) == 0) | (s["used"] + n <= budget)
-        chunk = F.when(fits, s["chunk"]).otherwise(s["chunk"] + 1)
+        fits = (s["at"] > 0) & (s["used"] + n <= budget)
         return F.struct(
             (F.when(fits, s["used"]).otherwise(F.lit(0)) + n).cast("bigint").alias("used"),
-            chunk.alias("chunk"),
-            F.concat(s["ids"], F.array(chunk)).alias("ids"),
+            (s["at"] + 1).alias("at"),
+            F.when(fits, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"]))).alias("starts"),
         ).cast(state)
 
-    return F.aggregate(lengths, start.cast(state), step)["ids"]
+    def filled(s: Column) -> Column:
+        ends = F.concat(F.slice(s["starts"], 2, 2147483646), F.array(s["at"]))
+        runs = F.zip_with(s["starts"], ends, lambda a, b: b - a)
+        chunks = F.flatten(F.transform(runs, lambda n, chunk: F.array_repeat(chunk, n)))
+        return F.when(s["at"] > 0, chunks).otherwise(F.array().cast("array<int>"))
+
+    return let(F.aggregate(lengths, start.cast(state), step), filled)
 
 
 def budget_chunks(pieces: Column, budget: int = 1800) -> Column:
