@@ -10,7 +10,7 @@ from colloquy.catalog.q_accounts import TS, stamp
 from colloquy.operators import meetings as M
 from colloquy.sources.standins import STANDINS, standin
 from colloquy.streaming import alerts, jobs as J, webhooks as W
-from colloquy.streaming.runner import drain_append, drain_batches, stream_table
+from colloquy.streaming.runner import drain_append, drain_batches, drain_new_keys, stream_home, stream_table
 
 AS_OF = "2024-01-20 12:00:00"
 EMAIL_SQL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -126,14 +126,22 @@ def t01(spark, sf):
 def t01_stream(spark, sf):
     events = stream_table(spark, f"{sf}/events.parquet")
     hooks = spark.sql(STANDINS["webhooks"], events=events).drop("payload_json")
-    kept = (
-        hooks.filter(F.col("provider_event_id") != "")
-        .withColumn("arrived_at", F.col("arrived_at").cast("timestamp"))
-        .withWatermark("arrived_at", "2 hours")
-        .dropDuplicatesWithinWatermark(["provider", "provider_event_id"])
-        .select("provider", "provider_event_id", "event_type", "event_id")
-    )
-    return drain_append(spark, kept, "webhook-dedupe")
+    home = stream_home(spark, "webhook-dedupe", sf)
+    kept = drain_new_keys(spark, hooks, "webhook-dedupe", ["provider", "provider_event_id"], W.first_deliveries, home)
+    return kept.select("provider", "provider_event_id", "event_type", "event_id")
+
+
+@query(
+    "t01_webhook_answers",
+    oracle(
+        f"""select provider, provider_event_id, event_id, copy_no, strftime(arrived_at, '{TS}') as arrived_at, case when provider_event_id = '' then 'ignored'
+        when row_number() over (partition by provider, provider_event_id order by arrived_at, event_id, copy_no) = 1 then 'accepted' else 'duplicate' end as status from webhooks"""
+    ),
+)
+def t01_answers(spark, sf):
+    """Every delivery gets an answer: the first of an id is accepted, later ones are duplicates."""
+    out = W.delivery_answers(standin(spark, sf, "webhooks").drop("payload_json"))
+    return out.select("provider", "provider_event_id", "event_id", "copy_no", stamp("arrived_at").alias("arrived_at"), "status")
 
 
 @query(
@@ -187,7 +195,7 @@ def t03_stream(spark, sf):
             )
         )
 
-    parts = drain_batches(spark, routed, "subscription-state", partial)
+    parts = drain_batches(spark, routed, "subscription-state", partial, home=stream_home(spark, "subscription-state", sf))
     merged = parts.groupBy("provider", "subscription_key").agg(
         F.min("activated_at").alias("activated_at"),
         F.max("last_activation").alias("last_activation"),
@@ -239,6 +247,10 @@ def t06(spark, sf):
     return M.fail_stale(standin(spark, sf, "meetings"), AS_OF).select("id", "status", "changed")
 
 
+# how late a row of the sample feeds may come; a window or session closes, and comes out, only
+# when the newest row is that much past its end
+DELAY = "1 hour"
+
 # processing updates of a recording, one per event: the recording is the user's stream
 UPDATES_SQL = """select user_id as id, ts as updated_at, case when event_type = 'view' then 'DONE' else 'PROCESSING' end as status,
     case when event_type = 'click' then 'completed' else 'transcribing' end as processing_stage from {events}"""
@@ -251,7 +263,7 @@ UPDATES_SQL = """select user_id as id, ts as updated_at, case when event_type =
         strftime(updated_at + interval '4' hour, '{TS}') as stale_at from (
         select user_id as id, ts as updated_at, event_type, lead(ts) over (partition by user_id order by ts, event_id) as nxt from events) t
         where (nxt is null or nxt > updated_at + interval '4' hour) and event_type not in ('view', 'click')
-        and updated_at + interval '4' hour <= (select max(ts) from events)"""
+        and updated_at + interval '4' hour <= (select max(ts) - interval '1' hour from events)"""
     ),
 )
 def t06_stream(spark, sf):
@@ -259,8 +271,8 @@ def t06_stream(spark, sf):
     updates = spark.sql(UPDATES_SQL, events=events).withColumn(
         "updated_at", F.col("updated_at").cast("timestamp")
     )
-    stale = J.silent_sessions(updates.withWatermark("updated_at", "0 seconds"))
-    return drain_append(spark, stale, "stale").withColumn("stale_at", stamp("stale_at"))
+    stale = J.silent_sessions(updates, delay=DELAY)
+    return drain_append(spark, stale, "stale", stream_home(spark, "stale", sf)).withColumn("stale_at", stamp("stale_at"))
 
 
 T07_SQL = f"""select strftime(w, '{TS}') as window_start, requests, errors, round(errors / requests, 6) as error_share, errors / requests > 0.05 and requests / 3600.0 > 0.001 as firing from (
@@ -274,14 +286,14 @@ def t07(spark, sf):
     return out.withColumn("window_start", stamp("window_start"))
 
 
-@query("t07_error_rate_alert_stream", oracle(T07_SQL + " where w + interval '1' hour <= (select max(ts) from http_requests)"))
+@query("t07_error_rate_alert_stream", oracle(T07_SQL + " where w + interval '1' hour <= (select max(ts) - interval '1' hour from http_requests)"))
 def t07_stream(spark, sf):
     events = stream_table(spark, f"{sf}/events.parquet")
     requests = spark.sql(STANDINS["http_requests"], events=events).withColumn(
         "ts", F.col("ts").cast("timestamp")
     )
-    fired = alerts.error_rate(requests.withWatermark("ts", "0 seconds"), "1 hour", min_rate=0.001)
-    return drain_append(spark, fired, "error-rate").withColumn("window_start", stamp("window_start"))
+    fired = alerts.error_rate(requests, "1 hour", min_rate=0.001, delay=DELAY)
+    return drain_append(spark, fired, "error-rate", stream_home(spark, "error-rate", sf)).withColumn("window_start", stamp("window_start"))
 
 
 @query(

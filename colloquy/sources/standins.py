@@ -411,14 +411,21 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when a table arrives in fewer splits than there are cores.
+PARTITIONS_KEY = "spark.colloquy.textPartitions"
 
-    Text work is heavy per row, so a small single-file table would keep one core busy.  A
-    large table has more splits than cores and is left where it lies: no shuffle.
+
+def text_partitions(spark: SparkSession) -> int:
+    """Into how many partitions the queries deal their text rows: a setting of the session.
+
+    Text work is heavy per row, and a table may come in one file.  The setting defaults to the
+    session's shuffle partitions; 0 leaves rows where they lie, which suits tables of many files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return int(spark.conf.get(PARTITIONS_KEY, spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, partitions: int) -> DataFrame:
+    """Deal rows out into that many partitions, or, for 0, leave them; the data decide nothing."""
+    return df.repartition(partitions) if partitions else df
 
 
 TEXT_HEAVY = ("transcripts", "notes_raw", "records", "cases")
@@ -429,12 +436,12 @@ def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frames = {t: given(spark, sf_dir, t) for t in base_tables(statement)}
     if name in TEXT_HEAVY:
         # the narrow base rows move, the text is made after
-        frames = {t: spread(f) for t, f in frames.items()}
+        frames = {t: spread(f, text_partitions(spark)) for t, f in frames.items()}
     return spark.sql(statement, **frames)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(given(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spread(given(spark, sf_dir, "documents").select("doc_id", "text"), text_partitions(spark))
 
 
 def standin_sql(name: str) -> str:

@@ -22,9 +22,18 @@ def _seconds(length: str) -> int:
 
 
 def error_rate(
-    requests: DataFrame, length: str = "5 minutes", step: str | None = None, min_rate: float = MIN_RATE
+    requests: DataFrame,
+    length: str = "5 minutes",
+    step: str | None = None,
+    min_rate: float = MIN_RATE,
+    delay: str | None = None,
 ) -> DataFrame:
-    """Share of 5xx answers per window, firing above the share and the volume line."""
+    """Share of 5xx answers per window, firing above the share and the volume line.
+
+    A stream names the ``delay`` after which a row counts as lost; a window comes out when the
+    newest row is that far past its end, so the last windows of a feed stay open.
+    """
+    requests = requests.withWatermark("ts", delay) if delay else requests
     out = requests.groupBy(_window("ts", length, step).alias("w")).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status").startswith("5")).alias("errors")
     )

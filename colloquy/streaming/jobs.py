@@ -50,12 +50,13 @@ def existing_job(jobs: DataFrame) -> DataFrame:
     )
 
 
-def silent_sessions(updates: DataFrame, gap: str = "4 hours") -> DataFrame:
+def silent_sessions(updates: DataFrame, gap: str = "4 hours", delay: str | None = None) -> DataFrame:
     """T06 as a stream: a session of updates that stays silent for ``gap`` while processing.
 
     The session closes when the watermark passes its end, which is exactly "no update for
-    four hours"; Spark keeps the timers.
+    four hours" once rows later than ``delay`` are ruled out; Spark keeps the timers.
     """
+    updates = updates.withWatermark("updated_at", delay) if delay else updates
     closed = updates.groupBy("id", F.session_window("updated_at", gap).alias("w")).agg(
         F.max_by(F.struct("status", "processing_stage"), "updated_at").alias("last")
     )

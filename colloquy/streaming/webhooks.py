@@ -170,6 +170,16 @@ def first_deliveries(hooks: DataFrame) -> DataFrame:
     return grouped.select("provider", "provider_event_id", "first.*", "deliveries")
 
 
+def delivery_answers(hooks: DataFrame) -> DataFrame:
+    """Every delivery with its answer: accepted, duplicate, or ignored for want of an id."""
+    order = ["arrived_at", "event_id", "copy_no"]
+    named = hooks.filter(F.col("provider_event_id") != "")
+    first = named.groupBy("provider", "provider_event_id").agg(F.min(F.struct(*order)).alias("first"))
+    told = hooks.join(first, ["provider", "provider_event_id"], "left")
+    status = F.when(F.col("first").isNull(), "ignored").when(F.struct(*order) == F.col("first"), "accepted")
+    return told.withColumn("status", status.otherwise("duplicate")).drop("first")
+
+
 def match_users(hooks: DataFrame, users: DataFrame) -> DataFrame:
     """Equi join on the normalized email (mails are unique on the user side)."""
     people = users.groupBy(F.lower(F.trim(F.col("email"))).alias("email")).agg(
