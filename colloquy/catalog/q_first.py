@@ -510,13 +510,6 @@ cte("q7_second", diverse_sql("select doc_id, pos as ord, s from q7_built union a
 cte("q7_points", publishable_points_sql("select doc_id, pos as ord, s from q7_second where lower(s) not like 'by the end of the meeting%'", 8))
 cte("q7_lines", action_lines_sql("q7_clean_scores"))
 cte("q7_objects", objects_sql("q7_lines"))
-cte(
-    "q7_actions",
-    deduped(
-        "select doc_id, pos as ord, owner, task as s, due from local_actions union all select doc_id, 1000 + pos, owner, task, due from q7_objects",
-        COMPACT, 8, "owner, s as task, due",
-    ),
-)
 cte("q7_built_decisions", decisions_built_sql("q7_clean_scores"))
 
 
@@ -539,19 +532,3 @@ cte(
     where regexp_matches(lower(s), '\\bmeeting focused on\\b|\\bthe goal is\\b|\\btoday we need to\\b|\\bpurpose of this meeting\\b') group by doc_id) p on p.doc_id = t.doc_id""",
 )
 cte("q7_outcome", outcome_sql("select doc_id, pos as ord, s from q7_decisions", "select doc_id, pos as ord, s from q7_points", "select doc_id, purpose, found from q7_purpose"))
-cte("q7_steps", steps_pick_sql("select doc_id, pos as ord, task as s from q7_actions", "3"))
-
-Q7_SQL = f"""select t.doc_id, p.purpose, {slot_text_sql('o.outcome', 260)} as outcome, coalesce(k.v, '') as key_points, coalesce(a.v, '') as actions, coalesce(d.v, '') as decisions, coalesce(r.v, '') as risks, coalesce(n.v, '') as next_steps
-    from transcripts t join q7_purpose p on p.doc_id = t.doc_id join q7_outcome o on o.doc_id = t.doc_id left join ({ordlist('q7_points', 'pos')}) k on k.doc_id = t.doc_id
-    left join ({ordlist('q7_actions', 'pos', "concat_ws('/', owner, task, due)")}) a on a.doc_id = t.doc_id left join ({ordlist('q7_decisions', 'pos')}) d on d.doc_id = t.doc_id
-    left join ({ordlist('q7_risks', 'pos')}) r on r.doc_id = t.doc_id left join ({ordlist('q7_steps', 'pos')}) n on n.doc_id = t.doc_id"""
-
-
-@query("q07_engine_v1", oracle(Q7_SQL))
-def q07(spark, sf):
-    out = E.first_engine(_talk(spark, sf))
-    acts = F.transform("actions", lambda a: F.concat_ws("/", a["owner"], a["task"], a["due"]))
-    return out.select(
-        "doc_id", "purpose", "outcome", pipe(F.col("key_points")).alias("key_points"), pipe(acts).alias("actions"),
-        *[pipe(F.col(c)).alias(c) for c in ("decisions", "risks", "next_steps")],
-    )
