@@ -21,15 +21,18 @@ def _names(sql: str) -> list[str]:
     return [w for w in dict.fromkeys(re.findall(r"\b(?:from|join)\s+([a-z_0-9]+)", sql)) if w in known]
 
 
-def oracle(body: str) -> str:
-    """``body`` with a WITH clause holding every named sub-query it reaches."""
+def oracle(body: str, instead: dict[str, str] | None = None) -> str:
+    """``body`` with a WITH clause holding every named sub-query it reaches.
+
+    ``instead`` puts other tables in the place of named ones.
+    """
     done: dict[str, str] = {}
 
     def visit(sql: str) -> None:
         for name in _names(sql):
             if name in done:
                 continue
-            text = CTES[name] if name in CTES else standin_sql(name)
+            text = (instead or {}).get(name) or (CTES[name] if name in CTES else standin_sql(name))
             if name in CTES:
                 visit(text)
             done[name] = text

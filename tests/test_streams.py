@@ -106,3 +106,16 @@ def test_budget_chunks_of_long_rows(spark, count):
         used += n
         want.append(chunk)
     assert found == want
+
+
+def test_conversations_become_transcripts(spark):
+    from colloquy.sources.conversations import PARTS, conversation_transcripts
+
+    turns = [(1, t, "user" if t % 2 == 0 else "assistant", f" say {t} ") for t in range(7)] + [(2, 0, None, None)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3)
+    found = {r["doc_id"]: r["text"] for r in conversation_transcripts(df, part_turns=4).collect()}
+    assert found == {
+        PARTS: "User: say 0 Assistant: say 1 User: say 2 Assistant: say 3",
+        PARTS + 1: "User: say 4 Assistant: say 5 User: say 6",
+        2 * PARTS: ": ",
+    }
