@@ -42,7 +42,8 @@ from colloquy.llm.common import batches_by_bytes, query, table
 SIGN = "▁"
 UNIT = re.compile(f"{SIGN}+[^{SIGN}]*|[^{SIGN}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 600_000
+CELLS = 1 << 19
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # fixed values: kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2  # fixed values: kinds of models
 PENALTY = np.float32(10)
@@ -101,6 +102,7 @@ class Vocabulary:
         self.longest = max(len(self.texts[i]) for i in normal)
         self.safe = not any(re.search(f"[^{SIGN}]{SIGN}", self.texts[i]) for i in normal)
         self.bytes = {int(self.texts[i][3:5], 16): int(i) for i in np.flatnonzero(kind == BYTE)}
+        self.byte_ids = np.array([self.bytes.get(b, self.unknown) for b in range(256)], np.int32)
         self.low = self.scores[normal].min() - PENALTY
         self.outputs = [
             bytes([int(t[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else t.replace(SIGN, " ").encode() if k == NORMAL else b""
@@ -113,7 +115,6 @@ class Vocabulary:
         keys = np.array([self.key(self.texts[i]) for i in alive], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], alive[order]
-        self.key_sizes = np.array([len(self.texts[i]) for i in self.key_ids])
 
     @staticmethod
     def key(text: str) -> int:
@@ -188,9 +189,9 @@ class Vocabulary:
             open_ = open_[go]
         return out
 
-    def probe(self, key: np.ndarray, size: int) -> np.ndarray:
+    def probe(self, key: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (self.key_sizes[at] == size), self.key_ids[at], -1)
+        return np.where(self.keys[at] == key, self.key_ids[at], -1)
 
     def cut_units(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lengths) of the piece that ends after each character, on the best way there."""
@@ -199,13 +200,13 @@ class Vocabulary:
         powers = BASE ** np.arange(self.longest + 1, dtype=np.uint64)
         for e in range(length):
             sums[:, e + 1] = sums[:, e] * BASE + chars[:, e] + np.uint64(1)
-        piece, back = np.full((n, length + 1), -1), np.zeros((n, length + 1), np.int64)
+        piece, back = np.full((n, length + 1), -1, np.int32), np.zeros((n, length + 1), np.int32)
         score = np.zeros((n, length + 1), np.float32)
         everyone = np.arange(n)
         for e in range(1, length + 1):
             best, single = np.full(n, -np.inf, np.float32), None
             for size in range(min(e, self.longest), 0, -1):
-                found = self.probe(sums[:, e] - sums[:, e - size] * powers[size], size)
+                found = self.probe(sums[:, e] - sums[:, e - size] * powers[size])
                 if size == 1:
                     single = found < 0
                     found = np.where(single, self.size, found)
@@ -228,54 +229,64 @@ class Vocabulary:
     def allowed_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if not len(a):
             return np.empty(0, bool)
-        key, where = np.unique(a * (self.size + 1) + b, return_inverse=True)
+        key, where = np.unique(a.astype(np.int64) * (self.size + 1) + b, return_inverse=True)
         return self.allowed(key // (self.size + 1), key % (self.size + 1))[where]
 
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        by_length, out = defaultdict(list), [np.empty(0, np.int32)] * len(units)
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units one after another, how many each unit has)."""
+        by_length, order, ids, sizes = defaultdict(list), [], [], []
         for i, u in enumerate(units):
             by_length[len(u)].append(i)
         for length, some in by_length.items():
-            step = max(1, (1 << 21) // (length + 1))
+            step = max(1, CELLS // (length + 1))
             for at in range(0, len(some), step):
                 rows = some[at : at + step]
                 chars = np.frombuffer("".join(units[i] for i in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), length)
-                piece, back = self.cut_units(chars.astype(np.uint64))
-                for i, way in zip(rows, self.walk(piece, back), strict=True):
-                    out[i] = self.spelled(way, units[i])
-        return out
-
-    @staticmethod
-    def walk(piece: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
-        """Follow the back pointers of all units together."""
+                flat, n = self.walk(chars, *self.cut_units(chars.astype(np.uint64)))
+                order.extend(rows)
+                ids.append(flat)
+                sizes.append(n)
+        if not units:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        flat, n = np.concatenate(ids), np.concatenate(sizes)
+        back = np.argsort(np.array(order))
+        begins = (np.cumsum(n) - n)[back]
+        return gathered(flat, begins, n[back]), n[back]
+
+    def walk(self, chars: np.ndarray, piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Follow the back pointers of all units together; spell out what has no piece."""
         n, at = len(piece), np.full(len(piece), piece.shape[1] - 1)
-        steps, rows = [], np.arange(n)
+        steps, last, rows = [], [], np.arange(n)
         on = at > 0
         while on.any():
-            steps.append(np.where(on, piece[rows, at], -1))
+            steps.append(np.where(on, piece[rows, at], -1).astype(np.int32))
+            last.append(chars[rows, at - 1])
             at = np.where(on, at - back[rows, at], 0)
             on = at > 0
-        if not steps:
-            return [np.empty(0, np.int32)] * n
-        ways = np.array(steps[::-1]).T
-        return [way[way >= 0].astype(np.int32) for way in ways]
-
-    def spelled(self, way: np.ndarray, unit: str) -> np.ndarray:
-        """Characters without a piece become bytes, or one unknown per run."""
-        if not (way == self.size).any():
-            return way
-        out, at = [], 0
-        for p in way.tolist():
-            if p < self.size:
-                out.append(p)
-                at += len(self.texts[p])
-                continue
-            if self.bytes:
-                out.extend(self.bytes[b] for b in unit[at].encode("utf-8", "surrogatepass"))
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-            at += 1
-        return np.array(out, np.int32)
+        ways = np.array(steps[::-1], np.int32).T
+        full = ways >= 0
+        ids, row = ways[full], np.nonzero(full)[0]
+        bare = ids == self.size
+        if not bare.any():
+            return ids, full.sum(axis=1)
+        if not self.bytes:
+            again = np.append(False, bare[1:] & bare[:-1] & (row[1:] == row[:-1]))
+            ids = np.where(bare, self.unknown, ids)[~again].astype(np.int32)
+            return ids, np.bincount(row[~again], minlength=n)
+        code = np.array(last[::-1]).T[full].astype(np.int64)
+        size = np.where(bare, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 1)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        ids, bare, code, total = (np.repeat(x, size) for x in (ids, bare, code, size))
+        bits = code >> (6 * (total - 1 - place))
+        lead = np.where(total == 1, 0, (0xF00 >> total) & 0xFF)
+        byte = np.where(place == 0, lead | bits, 0x80 | (bits & 0x3F))
+        return np.where(bare, self.byte_ids[byte & 0xFF], ids).astype(np.int32), np.bincount(np.repeat(row, size), minlength=n)
+
+
+def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` that begin there, one after another."""
+    before = np.cumsum(sizes) - sizes
+    return flat[np.repeat(begins - before, sizes) + np.arange(sizes.sum())]
 
 
 class Coder:
@@ -283,26 +294,38 @@ class Coder:
 
     def __init__(self, model: bytes):
         self.vocabulary = Vocabulary(model)
-        self.places: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.forget()
         lengths = np.array([len(o) for o in self.vocabulary.outputs], np.int64)
         self.sizes, self.begins = lengths, np.cumsum(lengths) - lengths
         self.flat = np.frombuffer(b"".join(self.vocabulary.outputs), np.uint8)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ends, self.ids = np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, where each text's ids begin, and the end)."""
         if len(self.places) > CACHE_UNITS:
-            self.places, self.parts = {}, []
+            self.forget()
         cut = [self.units(t) for t in texts]
-        new = [u for u in dict.fromkeys(u for units in cut for u in units) if u not in self.places]
-        first = len(self.parts)
-        self.places.update(zip(new, range(first, first + len(new)), strict=True))
-        self.parts.extend(self.vocabulary.encode_units(new))
-        none = np.empty(0, np.int32)
-        out = [np.concatenate([self.parts[self.places[u]] for u in units]) if units else none for units in cut]
-        if not self.vocabulary.bytes:  # a run of unknowns may pass from unit to unit
-            unknown = self.vocabulary.unknown
-            out = [ids[np.append(True, (ids[1:] != unknown) | (ids[:-1] != unknown))[: len(ids)]] for ids in out]
-        return out
+        new = [u for u in set().union(*cut) if u not in self.places]
+        if new:
+            ids, sizes = self.vocabulary.encode_units(new)
+            first = len(self.places)
+            self.places.update(zip(new, range(first, first + len(new)), strict=True))
+            self.ids = np.concatenate([self.ids, ids])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        places = np.fromiter((self.places[u] for units in cut for u in units), np.int64, count.sum())
+        sizes = self.ends[places + 1] - self.ends[places]
+        ids = gathered(self.ids, self.ends[places], sizes)
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(count))]
+        if self.vocabulary.bytes or not len(ids):
+            return ids, ends
+        # a run of unknowns may pass from unit to unit
+        again = np.append(False, (ids[1:] == self.vocabulary.unknown) & (ids[:-1] == self.vocabulary.unknown))
+        again[ends[:-1][ends[:-1] < len(ids)]] = False
+        return ids[~again], np.append(0, np.cumsum(~again))[ends]
 
     def units(self, text: str) -> list[str]:
         if not text:
@@ -329,9 +352,8 @@ def encoder(path: str) -> Callable:
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "")
             for lo, hi in batches_by_bytes(texts):
-                ids = coder(path).encode(texts.slice(lo, hi - lo).to_pylist())
-                offsets = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                ids, ends = coder(path).encode(texts.slice(lo, hi - lo).to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), lists], names=["doc_id", "ids"])
 
     return run
