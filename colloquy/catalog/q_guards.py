@@ -437,6 +437,31 @@ def a26(spark, sf):
     return G.extraction_gap(_records(spark, sf))
 
 
+# every third record has its decisions as objects too, and every fourth its actions
+_OBJECTS = f"{_n('decisions')} * case when doc_id % 3 = 0 then 2 else 1 end as d, {_n('action_items')} * case when doc_id % 4 = 0 then 2 else 1 end as a"
+
+
+def _with_objects(spark, sf):
+    none = F.array().cast("array<string>")
+    return _records(spark, sf).withColumns(
+        {
+            "decision_objects": F.when(F.col("doc_id") % 3 == 0, F.col("decisions")).otherwise(none),
+            "action_item_objects": F.when(F.col("doc_id") % 4 == 0, F.col("action_items")).otherwise(none),
+        }
+    )
+
+
+@query("a26_extraction_gap_objects", oracle(f"select doc_id, d as decisions, a as actions, d = 0 as needs_decision_fix, a = 0 as needs_action_fix from (select doc_id, {_OBJECTS} from records) t"))
+def a26_objects(spark, sf):
+    gaps = G.extraction_gap(_with_objects(spark, sf))
+    return gaps.select("doc_id", "decisions", "actions", "needs_decision_fix", "needs_action_fix")
+
+
+@query("a26_extraction_gap_totals", oracle(f"select count(*) as cases, count(*) filter (d = 0) as decision_gaps, count(*) filter (a = 0) as action_gaps from (select doc_id, {_OBJECTS} from records) t"))
+def a26_totals(spark, sf):
+    return G.gap_totals(G.extraction_gap(_with_objects(spark, sf)))
+
+
 # ---- X25 and Q04 ---------------------------------------------------------------------------------------------------
 def section_sql(title: str, column: str, prefix: str = "- ", expr: str = "s") -> str:
     body = f"(select string_agg('{prefix}' || {expr}, chr(10) order by ord) from ({list_rows(column)}) w where w.doc_id = r.doc_id)"

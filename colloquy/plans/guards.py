@@ -689,18 +689,32 @@ def precision_cleanup(records: DataFrame) -> DataFrame:
 
 # ---- A26, J13 ------------------------------------------------------------------------------------------------------------
 def extraction_gap(records: DataFrame) -> DataFrame:
-    """Sizes per case and what still needs a fix."""
-    c = F.col
+    """Sizes per case and what still needs a fix; plain items and objects both count."""
+
+    def count(*names: str) -> Column:
+        sizes = [F.greatest(F.coalesce(F.size(n), F.lit(0)), F.lit(0)) for n in names if n in records.columns]
+        return sum(sizes[1:], sizes[0])
+
+    decisions, actions = count("decisions", "decision_objects"), count("action_items", "action_item_objects")
     return records.select(
         "doc_id",
         F.length("summary").alias("summary_len"),
         F.length("purpose").alias("purpose_len"),
         F.length("outcome").alias("outcome_len"),
         F.size("key_points").alias("key_points"),
-        F.size("decisions").alias("decisions"),
-        F.size("action_items").alias("actions"),
-        (F.size("decisions") == 0).alias("needs_decision_fix"),
-        (F.size("action_items") == 0).alias("needs_action_fix"),
+        decisions.alias("decisions"),
+        actions.alias("actions"),
+        (decisions == 0).alias("needs_decision_fix"),
+        (actions == 0).alias("needs_action_fix"),
+    )
+
+
+def gap_totals(gaps: DataFrame) -> DataFrame:
+    """One row with the number of cases, and of those that need a fix."""
+    return gaps.agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if("needs_decision_fix").alias("decision_gaps"),
+        F.count_if("needs_action_fix").alias("action_gaps"),
     )
 
 
