@@ -101,6 +101,24 @@ def p24(spark, sf):
     )
 
 
+# the type goes into the payload, under one of the names that it may have, or under none
+_TYPED = """concat('{"', case when provider = 'square' and event_id % 4 <> 0 then 'type' when provider = 'paypal' and event_id % 6 = 1 then 'kind' else 'event_type' end,
+    '": "', event_type, '", ', substr(payload_json, 2))"""
+
+
+@query(
+    "p24_payload_identity",
+    oracle(
+        f"""select provider, event_id, copy_no, case when provider = 'square' then coalesce(nullif(p ->> '$.event_id', ''), nullif(p ->> '$.id', ''), '') else coalesce(p ->> '$.id', '') end as provider_event_id,
+        case when provider = 'square' then coalesce(p ->> '$.type', p ->> '$.event_type', '') else coalesce(p ->> '$.event_type', 'unknown') end as event_type
+        from (select provider, event_id, copy_no, {_TYPED} as p from webhooks) t"""
+    ),
+)
+def p24_identity(spark, sf):
+    bare = standin(spark, sf, "webhooks").withColumn("payload_json", F.expr(_TYPED)).drop("provider_event_id", "event_type")
+    return W.payload_identity(bare).select("provider", "event_id", "copy_no", "provider_event_id", "event_type")
+
+
 T01_SQL = f"""select provider, provider_event_id, event_type, event_id, strftime(arrived_at, '{TS}') as arrived_at, deliveries, 'accepted' as status from hooks_first
     union all select provider, provider_event_id, event_type, event_id, strftime(arrived_at, '{TS}'), 1, 'ignored' from webhooks where provider_event_id = ''"""
 

@@ -127,6 +127,28 @@ def payload_email(provider: Column, payload: Column) -> Column:
     return F.coalesce(_by_provider(provider, arms), anywhere)
 
 
+# fixed values: where each provider's payload says which event it is; and what an unnamed type is
+IDENTITY_PATHS = {
+    "square": (("$.event_id", "$.id"), ("$.type", "$.event_type"), ""),
+    "paypal": (("$.id",), ("$.event_type",), "unknown"),
+}
+
+
+def payload_identity(hooks: DataFrame) -> DataFrame:
+    """Event id and type as the payload itself tells them, for feeds without such columns."""
+    provider, payload = F.col("provider"), F.col("payload_json")
+
+    def first(paths: tuple[str, ...], default: str) -> Column:
+        return F.coalesce(*[F.nullif(F.get_json_object(payload, p), F.lit("")) for p in paths], F.lit(default))
+
+    return hooks.withColumns(
+        {
+            "provider_event_id": _by_provider(provider, {p: first(ids, "") for p, (ids, _, _) in IDENTITY_PATHS.items()}),
+            "event_type": _by_provider(provider, {p: first(kinds, default) for p, (_, kinds, default) in IDENTITY_PATHS.items()}),
+        }
+    )
+
+
 def project_payload(hooks: DataFrame) -> DataFrame:
     """Provider payload to flat columns, by ordered key fallbacks."""
     provider, payload = F.col("provider"), F.col("payload_json")
