@@ -183,45 +183,27 @@ def t02(spark, sf):
     )
 
 
-T03_SQL = f"""select provider, subscription_key, user_id, case when coalesce(last_cancel > last_activation, false) then 'canceled' else 'active' end as status, strftime(activated_at, '{TS}') as activated_at from (
-    select provider, subscription_key, min(ts) filter (effect = 'activate') as activated_at, max(ts) filter (effect = 'activate') as last_activation, max(ts) filter (effect = 'cancel') as last_cancel,
-    arg_max(matched_user_id, ts) filter (effect = 'activate') as user_id from hooks_routed where effect <> 'none' group by 1, 2) t where activated_at is not null"""
+T03_SQL = f"""select provider, subscription_key, user_id, case when coalesce(last_off > last_on, false) then 'canceled' else 'active' end as status, strftime(activated_at, '{TS}') as activated_at from (
+    select provider, subscription_key, coalesce(u, newest) as user_id, min(ts) filter (effect = 'activate') as activated_at, max(row(ts, event_id)) filter (effect = 'activate') as last_on, max(row(ts, event_id)) filter (effect = 'cancel') as last_off from (
+      select *, last_value(case when effect = 'activate' and n = 1 then u end ignore nulls) over (partition by provider, subscription_key order by ts, event_id rows between unbounded preceding and current row) as newest from (
+        select provider, subscription_key, effect, ts, event_id, u, row_number() over (partition by provider, subscription_key, u, effect order by ts, event_id) as n
+        from (select *, case when effect = 'activate' then matched_user_id end as u from hooks_routed where effect <> 'none') a) b) c where coalesce(u, newest) is not null group by 1, 2, 3) d"""
 
 
 @query("t03_subscription_state", oracle(T03_SQL))
 def t03(spark, sf):
-    return W.subscription_state(_routed(spark, sf)).withColumn("activated_at", stamp("activated_at"))
+    return W.subscription_state(W.subscription_effects(_routed(spark, sf))).withColumn("activated_at", stamp("activated_at"))
 
 
 @query("t03_subscription_state_stream", oracle(T03_SQL))
 def t03_stream(spark, sf):
-    """Each micro-batch is reduced to partial states; the states merge by min and max."""
+    """Each micro-batch stores its effects; a repeated delivery is the same effect and counts once."""
     events = stream_table(spark, f"{sf}/events.parquet")
     hooks = W.project_payload(spark.sql(STANDINS["webhooks"], events=events))
     routed = W.route(W.match_users(hooks.filter(F.col("provider_event_id") != ""), standin(spark, sf, "users")))
-    on, off = F.col("effect") == "activate", F.col("effect") == "cancel"
-
-    def partial(batch):
-        return (
-            batch.filter(on | off)
-            .groupBy("provider", W.subscription_key().alias("subscription_key"))
-            .agg(
-                F.min(F.when(on, F.col("ts"))).alias("activated_at"),
-                F.max(F.when(on, F.col("ts"))).alias("last_activation"),
-                F.max(F.when(off, F.col("ts"))).alias("last_cancel"),
-                F.max(F.when(on, F.struct("ts", "event_id", "matched_user_id"))).alias("owner"),
-            )
-        )
-
-    parts = drain_batches(spark, routed, "subscription-state", partial, home=stream_home(spark, "subscription-state", sf))
-    merged = parts.groupBy("provider", "subscription_key").agg(
-        F.min("activated_at").alias("activated_at"),
-        F.max("last_activation").alias("last_activation"),
-        F.max("last_cancel").alias("last_cancel"),
-        F.max("owner").alias("owner"),
-    )
-    settled = W.settle_subscriptions(merged.withColumn("user_id", F.col("owner.matched_user_id")))
-    return settled.withColumn("activated_at", stamp("activated_at"))
+    home = stream_home(spark, "subscription-effects", sf)
+    stored = drain_batches(spark, routed, "subscription-effects", W.subscription_effects, home=home)
+    return W.subscription_state(stored.drop("batch_id").distinct()).withColumn("activated_at", stamp("activated_at"))
 
 
 cte(

@@ -7,7 +7,7 @@ a hot key is reduced before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # fixed values: event vocabularies and payload paths
 ACTIVE_EVENTS = {
@@ -238,34 +238,45 @@ def subscription_key() -> Column:
     return F.coalesce(F.col("subscription_id"), F.col("order_id"), F.col("payment_id"))
 
 
-def subscription_state(routed: DataFrame) -> DataFrame:
-    """Last effect by event time per (provider, subscription).
+def subscription_effects(routed: DataFrame) -> DataFrame:
+    """The events that move a subscription: one narrow row each, all that its state needs."""
+    on, off = F.col("effect") == "activate", F.col("effect") == "cancel"
+    return routed.filter(on | off).select(
+        "provider",
+        subscription_key().alias("subscription_key"),
+        F.when(on, F.col("matched_user_id")).alias("user_id"),
+        F.struct("ts", "event_id").alias("at"),
+        "effect",
+    )
 
-    A cancel counts only where an activation exists, and only if it is later.
+
+def subscription_state(effects: DataFrame) -> DataFrame:
+    """One row per (provider, subscription, user), by event time.
+
+    An activation makes or revives its user's row.  A cancel names no user: it hits the row of
+    the subscription that was made last before it, and counts if it is later than that user's last
+    activation.  The window runs over one subscription's events.
     """
     on = F.col("effect") == "activate"
-    off = F.col("effect") == "cancel"
-    state = (
-        routed.filter(on | off)
-        .groupBy("provider", subscription_key().alias("subscription_key"))
+    mine = ["provider", "subscription_key", "user_id"]
+    nth = F.row_number().over(Window.partitionBy(*mine, "effect").orderBy("at"))
+    made = F.when(on & (nth == 1), F.col("user_id"))
+    so_far = Window.partitionBy("provider", "subscription_key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    hit = effects.withColumn("made", made).withColumn("newest", F.last("made", ignorenulls=True).over(so_far))
+    return (
+        hit.withColumn("user_id", F.coalesce("user_id", "newest"))
+        .where(F.col("user_id").isNotNull())
+        .groupBy(*mine)
         .agg(
-            F.min(F.when(on, F.col("ts"))).alias("activated_at"),
-            F.max(F.when(on, F.col("ts"))).alias("last_activation"),
-            F.max(F.when(off, F.col("ts"))).alias("last_cancel"),
-            F.max_by("matched_user_id", F.when(on, F.struct("ts", "event_id"))).alias("user_id"),
+            F.min(F.when(on, F.col("at.ts"))).alias("activated_at"),
+            F.max(F.when(on, F.col("at"))).alias("last_on"),
+            F.max(F.when(~on, F.col("at"))).alias("last_off"),
+        )
+        .select(
+            *mine,
+            F.when(F.coalesce(F.col("last_off") > F.col("last_on"), F.lit(False)), "canceled").otherwise("active").alias("status"),
+            "activated_at",
         )
-    )
-    return settle_subscriptions(state)
-
-
-def settle_subscriptions(state: DataFrame) -> DataFrame:
-    canceled = F.coalesce(F.col("last_cancel") > F.col("last_activation"), F.lit(False))
-    return state.filter(F.col("activated_at").isNotNull()).select(
-        "provider",
-        "subscription_key",
-        "user_id",
-        F.when(canceled, "canceled").otherwise("active").alias("status"),
-        "activated_at",
     )
 
 

@@ -119,3 +119,12 @@ def test_conversations_become_transcripts(spark):
         PARTS + 1: "User: say 4 Assistant: say 5 User: say 6",
         2 * PARTS: ": ",
     }
+
+
+def test_a_cancel_hits_the_newest_row_of_its_subscription(spark):
+    moves = [(1, "a", "activate"), (2, "b", "activate"), (3, None, "cancel"), (4, "a", "activate")]
+    again = [(1, None, "cancel"), (2, "c", "activate"), (3, None, "cancel"), (5, "c", "activate")]
+    rows = [("p", key, user, (T0 + timedelta(hours=h), h), effect) for key, some in (("s", moves), ("r", again)) for h, user, effect in some]
+    schema = "provider string, subscription_key string, user_id string, at struct<ts:timestamp,event_id:int>, effect string"
+    found = {(r["subscription_key"], r["user_id"]): r["status"] for r in W.subscription_state(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {("s", "a"): "active", ("s", "b"): "canceled", ("r", "c"): "active"}
