@@ -6,7 +6,7 @@ is link text, how many of its words are stop words, and what it stands in.
 
 Pass 1 judges each block by itself.  What stands in a menu, header, footer, sidebar, notice,
 advert, form or comment part (by tag, role, class or id) is bad.  If the page marks its article
-(``article``, else ``main``), the rest is bad too, and the article's blocks are good when they
+(``article``, else ``main`` or a division named as content), the rest is bad too, and the article's blocks are good when they
 read like prose; short blocks, blocks with few stop words and link-rich blocks stay open.  On a
 page without such a mark a block is good when it is long, rich in stop words and poor in links,
 bad when it is rich in links or long with hardly a stop word, and open otherwise.
@@ -78,7 +78,10 @@ BAD_NAMES = frozenset(
     disqus reply replies respond discussion share sharing social toolbar pagination pager login search form disclaimer
     """.split()
 )
+BAD_STEMS = "comment cookie advert sidebar sponsor newsletter breadcrumb footer navigation masthead disclaimer".split()
+NOT_BAD = frozenset("commentary commentator".split())
 OWN_NAMES = frozenset("article post entry story with has no".split())
+MAIN_NAMES = frozenset("article content post entry story".split())
 CLOSED_BY = {  # fixed values: an open element that a new one ends
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "body": {"head"},
@@ -89,7 +92,7 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -123,12 +126,27 @@ def barred_by(tag: str, attributes: str, inside_article: bool) -> bool:
         if name in ("class", "id"):
             for word in value.split():
                 names = {x.lower() for x in NAME_PART.findall(word)}
-                bad = names & BAD_NAMES
+                bad = {x for x in names if x in BAD_NAMES or (x.startswith(tuple(BAD_STEMS)) and x not in NOT_BAD)}
                 if bad and not (names & OWN_NAMES and bad <= {"header", "sidebar", "notice", "form"}):
                     return True
     return False
 
 
+def marks_main(tag: str, attributes: str) -> bool:
+    """Whether an element that is not barred says that it holds the page's main text."""
+    if tag == "main":
+        return True
+    if not attributes or tag not in ("div", "section", "td"):
+        return False
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), a or b or c
+        if (name, value.lower()) in (("role", "main"), ("itemprop", "articlebody")):
+            return True
+        if name in ("class", "id") and any({x.lower() for x in NAME_PART.findall(w)} & MAIN_NAMES for w in value.split()):
+            return True
+    return False
+
+
 def blocks_of(page: str) -> Iterator[Block]:
     """The blocks of a page, in order; some have no text."""
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, barred, article, main, link
@@ -181,7 +199,8 @@ def blocks_of(page: str) -> Iterator[Block]:
                     break
             barred, article, main, link = stack[-1][1:] if stack else (False, False, False, False)
             barred = barred or barred_by(tag, attributes, article or main)
-            stack.append((tag, barred, article or tag == "article", main or tag == "main", link or tag == "a"))
+            main = main or (not barred and marks_main(tag, attributes))
+            stack.append((tag, barred, article or tag == "article", main, link or tag == "a"))
         state = stack[-1][1:] if stack else (False, False, False, False)
     yield block
 

@@ -18,6 +18,8 @@ CASES = {
     "other language": ("<p>Zzz qqq www vvv.</p><p><a>link</a></p>", "Zzz qqq www vvv."),
     "broken": ("<p title='it's>foo</p> < b <p", "foo < b"),
     "names": ("<body class='has-sidebar'><article class='post-header'><p>a</p></article></body>", "a"),
+    "stems": (f"<article><p>{PROSE}</p><ol class=commentlist><li>x</li></ol><p class=commentary>y</p></article>", PROSE + "y"),
+    "named content": ("<div id=page><div class='menu'>m</div><div id='main-content'><p>OF!! IS!! ZZ!!</p><p>q</p></div><div>d</div></div>", "OF!! IS!! ZZ!! q"),
     "unclosed": ("<article>a<!-- never", "a"),
     "empty": ("", ""),
     "unclosed inline": (f"<article><p><b>{PROSE}<br><p>b</p></article><footer>f</footer>", PROSE + "b"),
