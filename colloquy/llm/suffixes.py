@@ -26,9 +26,12 @@ bytes to the left and window - o to the right.  Each side's neighbours' common p
 order into classes for each o; two contexts in the same pair of classes repeat each other.
 
 Hot grams.  A gram with more than ``hot`` distinct contexts, such as a passage in a third of all
-documents with different text behind it, is not brought together: its windows are counted by
-fingerprint, summed before the shuffle, and looked up by an equi join.  Counts per gram are sums
-too, and all joins are plain equi joins that adaptive execution splits.
+documents with different text behind it, is not brought together.  Its contexts are cut into
+shorter runs of windows, which have more bytes in common: the longer gram parts most of them, or
+shows them to be equal or unique.  What is still crowded is cut into single windows, whose gram
+is the window itself, so that equal grams are equal windows and nothing is left to sort.  Counts
+per gram are summed before the shuffle, and all joins are plain equi joins against written
+tables, so that adaptive execution can split a hot key.
 
 Defined cases: a null or empty text, or one shorter than a window, loses nothing; a repeated row
 repeats all its windows; a document with a null id is treated as any other; an empty table gives
@@ -61,13 +64,12 @@ POSITION_BITS = 20
 BASE = 0x9E3779B97F4A7C15
 ONES = (1 << 64) - 1
 
-CONTEXTS = "t1 long, t2 long, doc_id long, start long, n int, anchor int, gram long, whole long"
+CONTEXTS = "t1 long, t2 long, doc_id long, start long, more array<long>, n int, anchor int, gram long, whole long"
 RUN = (
     "bucket int, shared array<int>, rest array<binary>, left array<binary>, t1 array<long>, t2 array<long>, "
     "start array<long>, n array<int>, open array<boolean>"
 )
 SPANS = "t1 long, t2 long, begin long, end long"
-WINDOWS = "f1 long, f2 long, t1 long, t2 long, start long, open boolean"
 
 
 @lru_cache(maxsize=2)
@@ -113,6 +115,7 @@ def contexts_of(data: bytes, window: int, gram: int) -> tuple[np.ndarray, np.nda
 
 
 def context_writer(window: int, gram: int) -> Callable:
+    """Contexts that are equal within a text share a row: ``more`` has the other places, if any."""
     from xxhash import xxh3_64_intdigest
 
     names = [c.split()[0] for c in CONTEXTS.split(", ")]
@@ -128,9 +131,15 @@ def context_writer(window: int, gram: int) -> Callable:
                 columns = (np.full(len(first), i), first, n, anchor - first, key.view(np.int64), np.array(whole, np.uint64).view(np.int64))
                 for column, more in zip(parts, columns, strict=True):
                     column.append(more)
-            row, first, n, anchor, key, whole = (np.concatenate(p) for p in parts)
+            columns = [np.concatenate(p) for p in parts]
+            row, first, n, anchor, key, whole = (c[np.lexsort((columns[1], columns[5], columns[4], columns[0]))] for c in columns)
+            lead = np.append(True, np.any([c[1:] != c[:-1] for c in (row, key, whole)], axis=0))[: len(row)]
+            row, start, n, anchor, key, whole = (c[lead] for c in (row, first, n, anchor, key, whole))
+            others = np.append(0, np.cumsum(~lead))[np.append(np.flatnonzero(lead), len(lead))]
+            more = pa.ListArray.from_arrays(pa.array(others, pa.int32()), pa.array(first[~lead]))
+            more = pc.if_else(pa.array(np.diff(others) > 0), more, pa.scalar(None, more.type))
             own = [batch.column(c).take(pa.array(row)) for c in ("t1", "t2", "doc_id")]
-            rest = [pa.array(first), pa.array(n, pa.int32()), pa.array(anchor, pa.int32()), pa.array(key), pa.array(whole)]
+            rest = [pa.array(start), more, pa.array(n, pa.int32()), pa.array(anchor, pa.int32()), pa.array(key), pa.array(whole)]
             yield pa.record_batch([*own, *rest], names=names)
 
     return run
@@ -314,16 +323,39 @@ def merger(window: int) -> Callable:
     return run
 
 
-def window_writer(window: int) -> Callable:
-    """One row per window of the contexts of hot grams, by fingerprint."""
+def part_writer(window: int, width: int) -> Callable:
+    """The contexts of hot grams, cut into runs of at most ``width`` windows.
+
+    Cuts lie at fixed distances from the anchor, so equal windows come into like parts.  The gram
+    of a part is what all windows between two cuts have in common.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    def signed(h: int) -> int:
+        return h - (1 << 64) if h >> 63 else h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for w, data in extract(batches, True):
-            starts = range(w["start"], w["start"] + w["n"])
-            prints = np.frombuffer(b"".join(hashlib.blake2b(data[p : p + window], digest_size=16).digest() for p in starts), "<i8")
-            same = [pa.array([w[c]] * w["n"], pa.int64()) for c in ("t1", "t2")]
-            arrays = [pa.array(prints[0::2]), pa.array(prints[1::2]), *same, pa.array(starts, pa.int64()), pa.array([w["open"]] * w["n"])]
-            yield pa.record_batch(arrays, names=[c.split()[0] for c in WINDOWS.split(", ")])
+            anchor, last = w["start"] + w["anchor"], w["start"] + w["n"] - 1
+            for k in range((anchor - last) // width, (anchor - w["start"]) // width + 1):
+                low, high = max(w["start"], anchor - k * width - width + 1), min(last, anchor - k * width)
+                core = anchor - k * width
+                gram = xxh3_64_intdigest(data[core : core - width + 1 + window], seed=w["gram"] & ONES)
+                whole = xxh3_64_intdigest(data[low : high + window], seed=core - low)
+                out.append((w["t1"], w["t2"], w["doc_id"], low, None, high - low + 1, core - low, signed(gram), signed(whole)))
+            if len(out) > 50_000:
+                yield table_of(out)
+                out = []
+        yield table_of(out)
+
+    names = [c.split()[0] for c in CONTEXTS.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64())}
+    types = [kinds[c.split()[1]] for c in CONTEXTS.split(", ")]
+
+    def table_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
@@ -397,6 +429,45 @@ SPAN_LIST = "array<struct<begin:long,end:long>>"
 WANTED = "array<struct<start:long,n:int,anchor:int,gram:long,open:boolean,hot:boolean,doc_id:long>>"
 
 
+def judged(contexts: DataFrame, window: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(spans that repeat as a whole, contexts that have to be compared).
+
+    The second has one row for each of the different contexts that share their gram with another,
+    whether it is still open, and whether its gram is hot.
+    """
+    places = F.lit(1).cast("long") + F.coalesce(F.array_size("more"), F.lit(0))
+    grams = contexts.groupBy("gram").agg(F.sum(places).alias("c"), F.min("whole").alias("least"), F.max("whole").alias("most"))
+    shared = contexts.join(stored(grams.where("c > 1"), "grams"), "gram").drop("c")
+    shared = stored(shared.withColumn("equal", F.col("least") == F.col("most")).drop("least", "most"), "shared")
+    starts = F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<long>")))
+    long = F.col("n").cast("long") - 1 + window
+    span = F.transform(starts, lambda s: F.struct(s.alias("begin"), (s + long).alias("end"))).alias("spans")
+    differ = shared.where("not equal")
+    place = F.struct("t1", "t2", "doc_id", "start", "n", "anchor")
+    distinct = stored(differ.groupBy("gram", "whole").agg(F.sum(places).alias("c"), F.min(place).alias("p")), "distinct")
+    many = distinct.where("c > 1").select("gram", "whole")
+    full = shared.where("equal").select("t1", "t2", span).unionAll(differ.join(many, ["gram", "whole"]).select("t1", "t2", span))
+    sizes = stored(distinct.groupBy("gram").agg(F.count("*").alias("m")), "sizes")
+    want = F.struct("p.start", "p.n", "p.anchor", "gram", (F.col("c") == 1).alias("open"), (F.col("m") > hot).alias("hot"), "p.doc_id")
+    wanted = distinct.join(sizes, "gram").select(F.col("p.t1").alias("t1"), F.col("p.t2").alias("t2"), want.alias("want"))
+    return full.distinct(), wanted
+
+
+def noted_texts(full: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(t1, t2, _full, _wanted): what is known of each text."""
+    no_spans, no_want = F.lit(None).cast(SPAN_LIST), F.lit(None).cast(WANTED.removeprefix("array<")[:-1])
+    notes = full.select("t1", "t2", "spans", no_want.alias("want")).unionAll(wanted.select("t1", "t2", no_spans.alias("spans"), "want"))
+    notes = notes.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("_full"), F.collect_list("want").alias("_wanted"))
+    return stored(notes, "notes")
+
+
+def sorted_spans(texts: DataFrame, window: int, bucket: int) -> DataFrame:
+    """The repeated spans of the open contexts of grams that are not hot."""
+    cold = texts.select(F.sum(F.size(F.filter("_wanted", lambda w: ~w["hot"])))).first()[0] or 0
+    runs = texts.select("t1", "t2", "_wanted", "data").mapInArrow(run_writer(window, max(1, -(-cold // bucket))), RUN)
+    return runs.groupBy("bucket").applyInArrow(merger(window), SPANS)
+
+
 def remove_repeats(
     docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "bytes", hot: int = HOT, bucket: int = BUCKET
 ) -> DataFrame:
@@ -408,30 +479,8 @@ def remove_repeats(
     found = rows.where(F.octet_length("data") >= window).select("t1", "t2", "doc_id", "data")
     contexts = stored(found.mapInArrow(context_writer(window, gram), CONTEXTS), "contexts")
 
-    # grams that occur more than once, and whether their contexts are all equal
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("c"), F.min("whole").alias("least"), F.max("whole").alias("most"))
-    shared = contexts.join(grams.where("c > 1"), "gram").drop("c")
-    shared = stored(shared.withColumn("equal", F.col("least") == F.col("most")).drop("least", "most"), "shared")
-    end = F.col("start") + F.col("n") - 1 + window
-    full_span = F.struct(F.col("start").alias("begin"), end.alias("end"))
-    differ = shared.where("not equal")
-    place = F.struct("t1", "t2", "doc_id", "start", "n", "anchor")
-    distinct = stored(differ.groupBy("gram", "whole").agg(F.count("*").alias("c"), F.min(place).alias("p")), "distinct")
-    many = distinct.where("c > 1").select("gram", "whole")
-    full = shared.where("equal").select("t1", "t2", full_span.alias("span")).unionAll(
-        differ.join(many, ["gram", "whole"]).select("t1", "t2", full_span.alias("span"))
-    )
-    sizes = distinct.groupBy("gram").agg(F.count("*").alias("m"))
-    wanted = distinct.join(sizes, "gram").select(
-        F.col("p.t1").alias("t1"),
-        F.col("p.t2").alias("t2"),
-        F.struct("p.start", "p.n", "p.anchor", "gram", (F.col("c") == 1).alias("open"), (F.col("m") > hot).alias("hot"), "p.doc_id").alias("want"),
-    )
-    no_span, no_want = (F.lit(None).cast(t.removeprefix("array<")[:-1]) for t in (SPAN_LIST, WANTED))
-    notes = full.distinct().select("t1", "t2", "span", no_want.alias("want")).unionAll(
-        wanted.select("t1", "t2", no_span.alias("span"), "want")
-    )
-    notes = stored(notes.groupBy("t1", "t2").agg(F.collect_list("span").alias("_full"), F.collect_list("want").alias("_wanted")), "notes")
+    full, wanted = judged(contexts, window, hot)
+    notes = noted_texts(full, wanted)
 
     # one pass over the texts: most rows are done, the others wait for the sort
     mine = F.filter("_wanted", lambda w: w["doc_id"].eqNullSafe(F.col("doc_id")))
@@ -444,13 +493,18 @@ def remove_repeats(
     first = stored(first, "first")
     waiting = first.where("_waits").select("_row", "t1", "t2", "_full", "_wanted", "data")
 
-    buckets = max(1, -(-distinct.count() // bucket))
-    runs = waiting.select("t1", "t2", "_wanted", "data").mapInArrow(run_writer(window, buckets), RUN)
-    sorted_spans = runs.groupBy("bucket").applyInArrow(merger(window), SPANS)
-    windows = stored(waiting.select("t1", "t2", "_wanted", "data").mapInArrow(window_writer(window), WINDOWS).distinct(), "windows")
-    twice = windows.groupBy("f1", "f2").agg(F.count("*").alias("c")).where("c > 1").select("f1", "f2")
-    hot_spans = windows.where("open").join(twice, ["f1", "f2"]).select("t1", "t2", F.col("start").alias("begin"), (F.col("start") + window).alias("end"))
-    spans = stored(sorted_spans.unionAll(hot_spans), "spans")
+    spans, texts = sorted_spans(waiting, window, bucket), waiting
+    for width in (max(1, (window - gram) // 8), 1):
+        if not texts.where(F.exists("_wanted", lambda w: w["hot"])).limit(1).count():
+            break
+        parts = stored(texts.select("t1", "t2", "_wanted", "data").mapInArrow(part_writer(window, width), CONTEXTS), "parts")
+        full, wanted = judged(parts.distinct(), window, hot)
+        spans = spans.unionAll(full.select("t1", "t2", F.explode("spans").alias("span")).select("t1", "t2", "span.*"))
+        if width > 1:
+            found = noted_texts(full.where("false"), wanted).drop("_full")
+            texts = stored(waiting.select("t1", "t2", "data").join(found, ["t1", "t2"]), "hot-texts")
+            spans = spans.unionAll(sorted_spans(texts, window, bucket))
+    spans = stored(spans, "spans")
     more = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("_more"))
     late = waiting.join(stored(more, "more"), ["t1", "t2"], "left").select(
         "_row", "data", F.concat("_full", F.coalesce("_more", F.array().cast(SPAN_LIST))).alias("_full")
