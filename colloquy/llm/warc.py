@@ -168,7 +168,7 @@ def write_archive(
     """The chunk table of ``pages`` (page_id, url, html); a later ``stored`` fixes it."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_bytes(F.col("html")).alias("payload"))
     rows = rows.withColumns({"key": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
-    largest = rows.groupBy("key").agg(F.max("page_id").alias("largest"))
+    largest = stored(rows.groupBy("key").agg(F.max("page_id").alias("largest")), "largest")
     rows = rows.join(largest, "key")
     first = (F.col("n") < min_bytes) | F.col("page_id").eqNullSafe(F.col("largest"))
     rows = rows.withColumns(
