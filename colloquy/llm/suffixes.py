@@ -57,7 +57,7 @@ from colloquy.llm.common import query, stored, table, text_bytes
 WINDOW = 400
 GRAM = 200
 HOT = 256
-BUCKET = 8_192
+BUCKET = 2_048
 RUN_BYTES = 16 << 20
 BLOCK = 1 << 18
 POSITION_BITS = 20
@@ -92,6 +92,13 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
+def spread_hash(h: np.ndarray) -> np.ndarray:
+    """The hash of a chosen gram, one to one, over the whole range: chosen ones are all small."""
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     done = 1
     while 2 * done <= width:
@@ -110,7 +117,7 @@ def contexts_of(data: bytes, window: int, gram: int) -> tuple[np.ndarray, np.nda
         least = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), window - gram + 1)
         at = (least & low).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        out.append([lo + first, np.diff(first, append=hi - lo), lo + at[first], h[at[first]]])
+        out.append([lo + first, np.diff(first, append=hi - lo), lo + at[first], spread_hash(h[at[first]])])
     return tuple(np.concatenate(column) for column in zip(*out, strict=True))
 
 

@@ -82,3 +82,10 @@ def test_query_on_the_table(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = REGISTRY["op9_suffix_dedup"].run(spark, sf_dir).collect()
     assert sorted((tuple(r) for r in found), key=str) == brute(docs, 400)
+
+
+def test_key_ranges_are_even(spark):
+    draw = np.random.default_rng(11)
+    grams = np.concatenate([suffixes.contexts_of(bytes(draw.integers(97, 123, 60_000, dtype=np.uint8)), 400, 200)[3] for _ in range(4)])
+    counts = np.bincount((grams >> np.uint64(60)).astype(int), minlength=16)
+    assert counts.min() > 0.5 * counts.mean() and counts.max() < 1.6 * counts.mean()
