@@ -14,14 +14,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
     near = both_ways(edges)
-    least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = stored(near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     near = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
@@ -36,8 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round halves the distance to the root or better, and leaves at most as many edges as
     there are nodes; its result is a written table, so nothing is recomputed from the start.
-    Minima are reduced before the shuffle and the joins are plain equi joins, which adaptive
-    execution splits at a node that has very many neighbours.
+    Minima are reduced before the shuffle and written, so that the joins with them are plain equi
+    joins, which adaptive execution splits at a node that has very many neighbours.
     """
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
     seen = signature(now)

@@ -44,6 +44,7 @@ WORDS = 5
 RADIUS = 2
 HOT = 1024
 SMALL = 32
+NEAREST = 4
 BLOCK_WORDS = 64
 HASH_SEED = 42
 ALL = (1 << 64) - 1
@@ -151,12 +152,12 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def links_of_large(values: np.ndarray, bits: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each value of one bucket the least index that it reaches, and the nearest other value.
+    """For each value of one bucket the least index that it reaches, and its nearest others.
 
-    Each value is compared once; a value with no other in reach is its own nearest.
+    Each value is compared once; missing neighbours are the value itself.
     """
     planes, n = planes_of(values, bits), len(values)
-    label, closest = np.full(n, -1), np.arange(n)
+    label, closest = np.full(n, -1), np.repeat(np.arange(n)[:, None], NEAREST, axis=1)
     for seed in range(n):
         if label[seed] >= 0:
             continue
@@ -167,7 +168,8 @@ def links_of_large(values: np.ndarray, bits: list[int], radius: int) -> tuple[np
             near = lanes_set(within(planes, flip.astype(bool), radius), n)
             others = near[near != i]
             if len(others):
-                closest[i] = others[np.bitwise_count(values[others] ^ values[i]).argmin()]
+                order = np.argsort(np.bitwise_count(values[others] ^ values[i]), kind="stable")[:NEAREST]
+                closest[i, : len(order)] = others[order]
             new = near[label[near] < 0]
             label[new] = seed
             queue.extend(new.tolist())
@@ -187,31 +189,31 @@ def pairs_of_small(values: np.ndarray, group: np.ndarray, bits: list[int], radiu
     return np.concatenate([*a, []]).astype(int), np.concatenate([*b, []]).astype(int)
 
 
-def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(masks, fingerprints), sorted, in pieces that end between buckets."""
-    kept = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(spaces, masks, fingerprints), sorted, in pieces that end between buckets."""
+    kept = [np.empty(0, np.uint64)] * 3
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = [batch.column(c).to_numpy().view(np.uint64) for c in ("mask", "fp")]
-        mask, fp = (np.concatenate(pair) for pair in zip(kept, new, strict=True))
-        key = fp & mask
-        change = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1]))
+        new = [batch.column(c).to_numpy().view(np.uint64) for c in ("space", "mask", "fp")]
+        columns = [np.concatenate(pair) for pair in zip(kept, new, strict=True)]
+        key = [*columns[:2], columns[1] & columns[2]]
+        change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0))
         cut = change[-1] + 1 if len(change) else 0
         if cut:
-            yield mask[:cut], fp[:cut]
-        kept = [mask[cut:], fp[cut:]]
+            yield tuple(c[:cut] for c in columns)
+        kept = [c[cut:] for c in columns]
     if len(kept[0]):
-        yield kept[0], kept[1]
+        yield tuple(kept)
 
 
 def linker(radius: int, direct: bool) -> Callable:
     """Links that connect what is in reach; with ``direct`` each link itself is within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for masks, fps in whole_buckets(batches):
-            a, b = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-            edges = np.flatnonzero(np.append(True, masks[1:] != masks[:-1]))
+        for spaces, masks, fps in whole_buckets(batches):
+            s, a, b = ([np.empty(0, np.uint64)] for _ in range(3))
+            edges = np.flatnonzero(np.append(True, (masks[1:] != masks[:-1]) | (spaces[1:] != spaces[:-1])))
             for lo, hi in zip(edges, np.append(edges[1:], len(masks)), strict=True):
                 mask, values = int(masks[lo]), fps[lo:hi]
                 bits = [k for k in range(64) if not mask >> k & 1]
@@ -228,51 +230,54 @@ def linker(radius: int, direct: bool) -> Callable:
                     b.append(small[j])
                 for g in np.unique(number[size > SMALL]):
                     large = values[number == g]
-                    a.append(large)
-                    b.append(large[links_of_large(large, bits, radius)[int(direct)]])
-            a, b = np.concatenate(a), np.concatenate(b)
+                    least, nearest = links_of_large(large, bits, radius)
+                    a.append(np.repeat(large, NEAREST) if direct else large)
+                    b.append(large[nearest.ravel() if direct else least])
+                s.append(np.full(sum(map(len, a)) - sum(map(len, s)), spaces[lo]))
+            s, a, b = np.concatenate(s), np.concatenate(a), np.concatenate(b)
             linked = a != b
-            yield pa.record_batch([pa.array(x[linked].view(np.int64)) for x in (a, b)], names=["a", "b"])
+            yield pa.record_batch([pa.array(x[linked].view(np.int64)) for x in (s, a, b)], names=["space", "a", "b"])
 
     return run
 
 
 def bucketed(rows: DataFrame, radius: int, fixed: int) -> DataFrame:
     masks = F.array(*[F.lit(signed(m)).cast("long") for m in bucket_masks(radius, fixed)])
-    return rows.select("fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    return rows.select("space", "fp", F.explode(masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
 
 
 def buckets(nodes: DataFrame, radius: int, hot: int, depth: int = 3) -> DataFrame:
-    """(mask, key, fp): every two fingerprints within the radius share a bucket."""
+    """(space, mask, key, fp): every two fingerprints of a space within the radius share a bucket."""
     rows, fixed, done = bucketed(nodes, radius, 0), bucket_masks(radius), None
     for level in range(depth):
-        over = stored(rows.groupBy("mask", "key").count().where(F.col("count") > hot).select("mask", "key"), "hot")
+        over = stored(rows.groupBy("space", "mask", "key").count().where(F.col("count") > hot).drop("count"), "hot")
         crowded = [int(r["mask"]) & ALL for r in over.select("mask").distinct().collect()]  # at most one row per mask
         if not crowded:
             break
-        cold = rows.join(over, ["mask", "key"], "left_anti")
+        cold = rows.join(over, ["space", "mask", "key"], "left_anti")
         done = cold if done is None else done.unionAll(cold)
-        inside = rows.join(over, ["mask", "key"], "left_semi")
+        inside = rows.join(over, ["space", "mask", "key"], "left_semi")
         finer = {signed(m): [signed(x) for x in bucket_masks(radius, m)] for m in crowded if 64 - m.bit_count() >= radius + 2}
         if len(finer) < len(crowded) or level == depth - 1:
             rows = inside
             break
         table_of = F.create_map(*[x for m, xs in finer.items() for x in (F.lit(m).cast("long"), F.array(*[F.lit(y).cast("long") for y in xs]))])
-        rows = inside.select("fp", F.explode(table_of[F.col("mask")]).alias("mask"))
+        rows = inside.select("space", "fp", F.explode(table_of[F.col("mask")]).alias("mask"))
         rows = rows.distinct().withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     return rows if done is None else done.unionAll(rows)
 
 
 def link(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT, direct: bool = False) -> DataFrame:
-    """Edges (a, b) that connect exactly the distinct fingerprints (``fp``) within the radius.
+    """Edges (space, a, b) that connect exactly the distinct fingerprints (``fp``) within the radius.
 
+    Fingerprints of different spaces (``space``, 0 if there is no such column) have no links.
     With ``direct`` the edges are themselves within the radius, for a check to follow: all of
-    them in small buckets, each fingerprint's nearest in large ones.
+    them in buckets of up to ``SMALL``, each fingerprint's ``NEAREST`` in larger ones.
     """
-    rows = buckets(nodes.select("fp"), radius, hot)
-    return rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp").select("mask", "fp").mapInArrow(
-        linker(radius, direct), "a long, b long"
-    )
+    space = F.col("space") if "space" in nodes.columns else F.lit(0)
+    rows = buckets(nodes.select(space.cast("long").alias("space"), "fp"), radius, hot)
+    rows = rows.repartition("space", "mask", "key").sortWithinPartitions("space", "mask", "key", "fp")
+    return rows.select("space", "mask", "fp").mapInArrow(linker(radius, direct), "space long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
@@ -281,7 +286,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, h
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(link(nodes, radius, hot))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stored(placed.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     by_fp = placed.join(least, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
@@ -346,24 +351,24 @@ def copies(
     Documents are alike if their sets of word shingles have that similarity.  Equal texts are
     alike at once.  For others, fingerprints over the distinct words, one per seed, propose
     pairs within the radius of any seed (0.99 of the pairs above 0.8 on the test tables), and
-    the similarity of each proposed pair is computed from the whole texts.  Of each component
-    the least id stays, of equal ids the least hash.
+    the similarity of each proposed pair is computed from the whole texts.  In a bucket of more
+    than ``SMALL`` fingerprints each proposes its ``NEAREST`` only, as all pairs of a large group
+    cannot be computed from texts; what joins such a group by none of its nearest, in any bucket
+    of any seed, stays apart (see the README for figures).  Texts without words are alike only
+    if they are equal.  Of each component the least id stays, of equal ids the least hash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(text_key("text"))
     prints = stored(rows.mapInArrow(set_fingerprinter(seeds), "t1 long, t2 long, doc_id long, fps array<long>"), "prints")
     one = prints.groupBy("t1", "t2").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("least"), F.first("fps").alias("fps"))
     nodes = stored(one.withColumn("node", F.monotonically_increasing_id()), "texts")
-    edges = None
-    for seed in range(seeds):
-        marked = nodes.select("node", F.col("fps")[seed].alias("fp"))
-        leads = stored(marked.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
-        same = marked.join(leads, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-        near = link(leads, radius, hot, direct=True).distinct()
-        near = near.join(leads.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a")
-        near = near.join(leads.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        found = same.unionAll(near)
-        edges = found if edges is None else edges.unionAll(found)
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    marked = nodes.select("node", F.posexplode("fps").alias("space", "fp"))
+    leads = stored(marked.groupBy("space", "fp").agg(F.min("node").alias("lead")), "leads")
+    same = marked.join(leads, ["space", "fp"]).where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    near = link(leads, radius, hot, direct=True).distinct()
+    near = near.join(leads.select("space", F.col("fp").alias("a"), F.col("lead").alias("x")), ["space", "a"])
+    near = near.join(leads.select("space", F.col("fp").alias("b"), F.col("lead").alias("y")), ["space", "b"])
+    edges = same.unionAll(near.select("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    edges = stored(edges.distinct(), "proposed")
     used = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
     asked = nodes.join(used, "node").select("node", "t1", "t2", "least")
     texts = rows.join(asked, ["t1", "t2"]).where(F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("least")).select("node", "text")
