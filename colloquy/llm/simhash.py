@@ -4,8 +4,8 @@ A fingerprint has a bit set if more than half of the hashes of the document's wo
 have it set.  Documents are linked if their fingerprints differ in at most ``radius`` bits; a
 component is all that links reach.
 
-``copies`` is the form for a pipeline: fingerprints propose, and the similarity of whole texts
-decides.
+``copies`` is the form for a pipeline: fingerprints and then shared shingles propose, and the
+similarity of whole texts decides.
 
 Search, over distinct fingerprints only: 64 bits are cut into ``radius + 2`` parts, so two
 fingerprints within the radius agree in at least two parts.  Every fingerprint goes into one
@@ -31,6 +31,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colloquy.llm.common import query, stored, table
 from colloquy.llm.components import components
+from colloquy.llm.overlaps import SMALL_GROUP, large_groups, open_members, parity_bits, shared_prefixes, small_groups
 
 WORDS = 5
 RADIUS = 2
@@ -303,12 +305,27 @@ def word_set_fingerprints(text: str, seeds: int) -> list[int]:
     return found
 
 
-def set_fingerprinter(seeds: int) -> Callable:
+def set_hash(members: np.ndarray) -> tuple[int, int]:
+    """Two hashes that stand for a sorted set of hashes."""
+    from xxhash import xxh3_128_intdigest
+
+    whole = xxh3_128_intdigest(members.tobytes())
+    return tuple(h - (1 << 64) if h >> 63 else h for h in (whole & ALL, whole >> 64))
+
+
+def set_fingerprinter(words: int, seeds: int) -> Callable:
+    """Fingerprints, and of the set of shingles two hashes, its size and its parity bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [word_set_fingerprints(t.as_py() or "", seeds) for t in batch.column("text")]
+            sets = [np.unique(shingle_hashes(t.as_py() or "", words)) for t in batch.column("text")]
             own = [batch.column(c) for c in ("t1", "t2", "doc_id")]
-            yield pa.record_batch([*own, pa.array(found, pa.list_(pa.int64()))], names=["t1", "t2", "doc_id", "fps"])
+            s1, s2 = ([set_hash(x)[k] for x in sets] for k in (0, 1))
+            rest = [pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array([len(x) for x in sets], pa.int32())]
+            bits = pa.array([parity_bits(x) for x in sets], pa.binary())
+            names = ["t1", "t2", "doc_id", "fps", "s1", "s2", "n", "bits"]
+            yield pa.record_batch([*own, pa.array(found, pa.list_(pa.int64())), *rest, bits], names=names)
 
     return run
 
@@ -343,23 +360,38 @@ def text_key(text: str) -> dict:
     return {"t1": F.xxhash64(whole), "t2": F.xxhash64(F.lit(7), whole)}
 
 
+def alike_pairs(edges: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the proposed pairs of nodes (a, b) those whose whole texts are alike."""
+    used = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
+    asked = nodes.join(used, "node").select("node", "t1", "t2", "least")
+    texts = rows.join(asked, ["t1", "t2"]).where(F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("least")).select("node", "text")
+    texts = stored(texts, "asked")
+    pairs = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return stored(pairs.select("a", "b", "text_a", "text_b").mapInArrow(likeness(words, similarity), "a long, b long"), "alike")
+
+
 def copies(
-    docs: DataFrame, words: int = WORDS, similarity: float = 0.8, radius: int = 4, seeds: int = 4, hot: int = HOT
+    docs: DataFrame, words: int = WORDS, similarity: float = 0.8, radius: int = 4, seeds: int = 4, hot: int = HOT, small: int = SMALL_GROUP
 ) -> DataFrame:
     """(t1, t2, doc_id, rows, keep): for each text and id, how many rows, and whether it stays.
 
-    Documents are alike if their sets of word shingles have that similarity.  Equal texts are
-    alike at once.  For others, fingerprints over the distinct words, one per seed, propose
-    pairs within the radius of any seed (0.99 of the pairs above 0.8 on the test tables), and
-    the similarity of each proposed pair is computed from the whole texts.  In a bucket of more
-    than ``SMALL`` fingerprints each proposes its ``NEAREST`` only, as all pairs of a large group
-    cannot be computed from texts; what joins such a group by none of its nearest, in any bucket
-    of any seed, stays apart (see the README for figures).  Texts without words are alike only
-    if they are equal.  Of each component the least id stays, of equal ids the least hash.
+    Documents are alike if their sets of word shingles have that similarity.  Equal texts and
+    equal sets are alike at once.  For others, fingerprints over the distinct words, one per seed,
+    first propose pairs within the radius of any seed, in a bucket of more than ``SMALL``
+    fingerprints the ``NEAREST`` of each; that joins most copies at little cost.  Then all pairs
+    that may be alike and are not joined yet are proposed by the shingles that they share
+    (``overlaps``), the nearest first and the rest among what is still apart, until no pair is
+    left.  The similarity of each proposed pair is computed from the whole texts.  Texts without
+    words are alike only if they are equal.  Of each component the least id stays, of equal ids
+    the least hash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumns(text_key("text"))
-    prints = stored(rows.mapInArrow(set_fingerprinter(seeds), "t1 long, t2 long, doc_id long, fps array<long>"), "prints")
-    one = prints.groupBy("t1", "t2").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("least"), F.first("fps").alias("fps"))
+    kinds = "t1 long, t2 long, doc_id long, fps array<long>, s1 long, s2 long, n int, bits binary"
+    prints = stored(rows.mapInArrow(set_fingerprinter(words, seeds), kinds), "prints")
+    own = F.first(F.struct("fps", "s1", "s2", "n", "bits")).alias("own")
+    one = prints.groupBy("t1", "t2").agg(F.min(F.coalesce("doc_id", F.lit(2**63 - 1))).alias("least"), own)
+    one = one.select("t1", "t2", "least", "own.*")
     nodes = stored(one.withColumn("node", F.monotonically_increasing_id()), "texts")
     marked = nodes.select("node", F.posexplode("fps").alias("space", "fp"))
     leads = stored(marked.groupBy("space", "fp").agg(F.min("node").alias("lead")), "leads")
@@ -368,15 +400,29 @@ def copies(
     near = near.join(leads.select("space", F.col("fp").alias("a"), F.col("lead").alias("x")), ["space", "a"])
     near = near.join(leads.select("space", F.col("fp").alias("b"), F.col("lead").alias("y")), ["space", "b"])
     edges = same.unionAll(near.select("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = stored(edges.distinct(), "proposed")
-    used = edges.select(F.col("a").alias("node")).unionAll(edges.select("b")).distinct()
-    asked = nodes.join(used, "node").select("node", "t1", "t2", "least")
-    texts = rows.join(asked, ["t1", "t2"]).where(F.coalesce("doc_id", F.lit(2**63 - 1)) == F.col("least")).select("node", "text")
-    texts = stored(texts, "asked")
-    pairs = edges.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    alike = pairs.select("a", "b", "text_a", "text_b").mapInArrow(likeness(words, similarity), "a long, b long")
-    roots = components(alike)
+    asked = stored(edges.distinct(), "proposed")
+    sets = stored(nodes.where("n > 0").groupBy("s1", "s2").agg(F.min("node").alias("lead")), "sets")
+    equal = nodes.join(sets, ["s1", "s2"]).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    alike = equal.unionAll(alike_pairs(asked, nodes, rows, words, similarity))
+
+    shared = shared_prefixes(rows, prints.count(), similarity, partial(shingle_hashes, words=words))
+    members = stored(shared.join(sets, "s1").select("token", F.col("lead").alias("node")), "members")
+    sized = nodes.select("node", "n", "bits")
+    roots, nearest, more = components(alike), NEAREST, True
+    while more:
+        opened = open_members(members, roots)
+        found = large_groups(opened, sized, similarity, small, nearest)
+        if nearest == NEAREST:  # later rounds are for what large groups have left
+            found = found.unionAll(small_groups(opened, sized, similarity, small))
+        found = stored(found, "found")
+        more = found.where("cut").limit(1).count() > 0
+        edges = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = stored(edges.join(asked, ["a", "b"], "left_anti"), "proposed")
+        asked, nearest = asked.unionAll(edges), nearest * 8
+        if edges.limit(1).count():
+            alike = alike.unionAll(alike_pairs(edges, nodes, rows, words, similarity))
+            roots = components(alike)
+
     placed = nodes.join(roots, "node", "left").select("t1", "t2", "least", F.coalesce("root", "node").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct("least", "t1", "t2")).alias("best"))
     # the text that stays, and the id under which it stays

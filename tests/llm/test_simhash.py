@@ -79,3 +79,37 @@ def test_copies_leave_one_of_each_group(spark):
     for hot in (1024, 4):
         kept = simhash.without_copies(frame, hot=hot)
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(g) for g in groups.values())
+
+
+def least_of_alike(texts, similarity=0.8):
+    """The ids that stay, by comparing all pairs."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = np.eye(len(sets), dtype=bool)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(x & y)
+            near[i, j] = near[j, i] = both >= similarity * (len(x) + len(y) - both)
+    return sorted(set(classes(np.arange(len(sets)), near).tolist()))
+
+
+def kept_ids(spark, texts, **settings):
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return sorted(r["doc_id"] for r in simhash.without_copies(frame, **settings).collect())
+
+
+def test_copies_with_text_added_or_cut_off(spark):
+    draw = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(5000)]
+    chance = 1 / np.arange(1, 5001)
+    texts = []
+    for length in (30, 60, 120, 300, 800, 2000):
+        for share in (0.10, 0.15, 0.18, 0.22, 0.30):
+            for cut in (False, True):
+                for _ in range(3):
+                    base = draw.choice(words, length, p=chance / chance.sum()).tolist()
+                    more = draw.choice(words, int(share * length), p=chance / chance.sum()).tolist()
+                    other = base[: len(base) - len(more) * 4 // 5] if cut else base + more
+                    texts += [" ".join(base), " ".join(other)]
+    want = least_of_alike(texts)
+    assert len(texts) > len(want) > len(texts) // 2  # some are alike, some are just not
+    assert kept_ids(spark, texts) == want
