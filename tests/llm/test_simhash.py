@@ -113,3 +113,23 @@ def test_copies_with_text_added_or_cut_off(spark):
     want = least_of_alike(texts)
     assert len(texts) > len(want) > len(texts) // 2  # some are alike, some are just not
     assert kept_ids(spark, texts) == want
+
+
+@pytest.mark.parametrize("small", [32, 2])
+def test_copies_among_texts_of_the_same_words(spark, small):
+    draw = np.random.default_rng(6)
+    texts = []
+    for _ in range(8):
+        lines = [" ".join(f"v{i}" for i in draw.integers(0, 500, 8)) for _ in range(40)]
+        shuffled = [[lines[i] for i in draw.permutation(40)] for _ in range(6)]
+        turned = [[*x[3:], *x[:3]] for x in shuffled]  # alike to its own order only
+        texts += ["\n".join(x) for x in shuffled + turned]
+    base = [f"t{i}" for i in range(200)]
+    for _ in range(60):  # a template, filled in at places that are often the same
+        words = list(base)
+        for at in draw.choice(12, int(draw.integers(2, 7)), replace=False):
+            words[int(at) * 16] = f"x{draw.integers(0, 6)}"
+        texts.append(" ".join(words))
+    texts = [texts[i] for i in draw.permutation(len(texts))]
+    want = least_of_alike(texts)
+    assert kept_ids(spark, texts, small=small) == want
