@@ -10,7 +10,7 @@ from colloquy.catalog.q_accounts import TS, stamp
 from colloquy.operators import meetings as M
 from colloquy.sources.standins import STANDINS, standin
 from colloquy.streaming import alerts, jobs as J, webhooks as W
-from colloquy.streaming.runner import drain_append, drain_batches, drain_new_keys, stream_home, stream_table
+from colloquy.streaming.runner import drain_append, drain_batches, drain_new_keys, query_home, stream_table
 
 AS_OF = "2024-01-20 12:00:00"
 EMAIL_SQL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -144,7 +144,7 @@ def t01(spark, sf):
 def t01_stream(spark, sf):
     events = stream_table(spark, f"{sf}/events.parquet")
     hooks = spark.sql(STANDINS["webhooks"], events=events).drop("payload_json")
-    home = stream_home(spark, "webhook-dedupe", sf)
+    home = query_home(spark, "webhook-dedupe", sf)
     kept = drain_new_keys(spark, hooks, "webhook-dedupe", ["provider", "provider_event_id"], W.first_deliveries, home)
     return kept.select("provider", "provider_event_id", "event_type", "event_id")
 
@@ -201,7 +201,7 @@ def t03_stream(spark, sf):
     events = stream_table(spark, f"{sf}/events.parquet")
     hooks = W.project_payload(spark.sql(STANDINS["webhooks"], events=events))
     routed = W.route(W.match_users(hooks.filter(F.col("provider_event_id") != ""), standin(spark, sf, "users")))
-    home = stream_home(spark, "subscription-effects", sf)
+    home = query_home(spark, "subscription-effects", sf)
     stored = drain_batches(spark, routed, "subscription-effects", W.subscription_effects, home=home)
     return W.subscription_state(stored.drop("batch_id").distinct()).withColumn("activated_at", stamp("activated_at"))
 
@@ -272,7 +272,7 @@ def t06_stream(spark, sf):
         "updated_at", F.col("updated_at").cast("timestamp")
     )
     stale = J.silent_sessions(updates, delay=DELAY)
-    return drain_append(spark, stale, "stale", stream_home(spark, "stale", sf)).withColumn("stale_at", stamp("stale_at"))
+    return drain_append(spark, stale, "stale", query_home(spark, "stale", sf)).withColumn("stale_at", stamp("stale_at"))
 
 
 T07_SQL = f"""select strftime(w, '{TS}') as window_start, requests, errors, round(errors / requests, 6) as error_share, errors / requests > 0.05 and requests / 3600.0 > 0.001 as firing from (
@@ -293,7 +293,7 @@ def t07_stream(spark, sf):
         "ts", F.col("ts").cast("timestamp")
     )
     fired = alerts.error_rate(requests, "1 hour", min_rate=0.001, delay=DELAY)
-    return drain_append(spark, fired, "error-rate", stream_home(spark, "error-rate", sf)).withColumn("window_start", stamp("window_start"))
+    return drain_append(spark, fired, "error-rate", query_home(spark, "error-rate", sf)).withColumn("window_start", stamp("window_start"))
 
 
 @query(

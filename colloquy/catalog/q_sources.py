@@ -18,7 +18,7 @@ from colloquy.plans.records import as_list
 from colloquy.session import fresh_path
 from colloquy.sources import readers as R, sinks as K
 from colloquy.sources.standins import STANDINS, given, standin
-from colloquy.streaming.runner import drain_batches, stream_home, stream_table
+from colloquy.streaming.runner import drain_batches, query_home, stream_table
 
 
 # ---- S01, S02, W12 ----------------------------------------------------------------------------
@@ -346,7 +346,7 @@ def t11(spark, sf):
     """New transcripts are read once, and each batch goes through the extractor."""
     orders = stream_table(spark, f"{sf}/orders.parquet")
     talk = spark.sql(STANDINS["transcripts"], orders=orders)
-    return drain_batches(spark, talk, "notes", X.cue_signals, home=stream_home(spark, "notes", sf)).drop("batch_id")
+    return drain_batches(spark, talk, "notes", X.cue_signals, home=query_home(spark, "notes", sf)).drop("batch_id")
 
 
 @query("t11_retry_reset", oracle("select id, case when raw_media_path is not null and status = 'ERROR' then 'PROCESSING' else status end as status, case when raw_media_path is not null and status = 'ERROR' then 'uploaded' else processing_stage end as processing_stage, case when raw_media_path is not null and status = 'ERROR' then null else error_text end as last_error from meetings"))

@@ -20,6 +20,13 @@ def stream_home(spark: SparkSession, label: str, source: str) -> str:
     return f"{shared_dir(spark)}/streams/{label}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
 
 
+def query_home(spark: SparkSession, label: str, source: str) -> str:
+    """The folder of a registered query's stream: that of the run which ``spark.colloquy.streamRun``
+    names, or a new one, so that a call covers the whole table as it is now."""
+    named = spark.conf.get("spark.colloquy.streamRun", "")
+    return stream_home(spark, label, f"{source}\n{named}") if named else fresh_path(spark, label)
+
+
 def stream_table(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A parquet table as a stream, with the schema of the files.
 

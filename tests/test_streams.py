@@ -128,3 +128,16 @@ def test_a_cancel_hits_the_newest_row_of_its_subscription(spark):
     schema = "provider string, subscription_key string, user_id string, at struct<ts:timestamp,event_id:int>, effect string"
     found = {(r["subscription_key"], r["user_id"]): r["status"] for r in W.subscription_state(spark.createDataFrame(rows, schema)).collect()}
     assert found == {("s", "a"): "active", ("s", "b"): "canceled", ("r", "c"): "active"}
+
+
+def test_a_registered_stream_covers_the_table_at_hand(spark, tmp_path):
+    from colloquy.catalog.everything import REGISTRY
+
+    path = str(tmp_path / "events.parquet")
+    query = REGISTRY["t01_webhook_dedupe_stream"]
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    counts = []
+    for part in (0, 1):
+        events.where(F.pmod("event_id", F.lit(2)) == part).coalesce(1).write.mode("overwrite").parquet(path)
+        counts.append({r["event_id"] for r in query.run(spark, str(tmp_path)).collect()})
+    assert counts[0] and counts[1] and not counts[0] & counts[1]
