@@ -199,7 +199,7 @@ WITH words AS (
 ), placed AS (
   SELECT g.*, filter_order, s.step, substr(filter_order, s.step, 1) AS own,
          contains(failed, substr(filter_order, s.step, 1)) AS hit,
-         failed <> '' AND regexp_matches(substr(filter_order, 1, s.step - 1), '[' || failed || ']') AS earlier
+         regexp_matches(substr(filter_order, 1, s.step - 1), '[_' || failed || ']') AS earlier
   FROM grouped g, orders, (VALUES (1), (2), (3), (4), (5)) s(step)
 ), told AS (
   SELECT part, filter_order, step, own,
