@@ -5,7 +5,8 @@ from colloquy.llm.everything import REGISTRY
 
 CLASH = (
     "fp node key t1 t2 _row row data length piece host rule verdict _keys shard score _score start gram "
-    "hot rows keep record payload rank block draw q media feature a b root least asked ids"
+    "hot rows keep record payload rank block draw q media feature a b root least asked ids "
+    "x component n deviation whitened bits part h1 h2 salt first_id parts low high good toxic_lost tie places"
 )
 
 
@@ -26,6 +27,8 @@ VECTORS = [
 ]
 LABELS = [(i, i % 2, 0) for i in range(12)] + [(3, None, 0), (None, 1, 0), (3, 1, 1)]
 ROWS = {"op1": len(PAGES), "op2": len(DOCS), "op3": len(DOCS), "op5": len(PAGES), "op7": len(PAGES), "op8": len(DOCS), "op9": len(DOCS), "op10": len(DOCS)}
+# six usable vectors in two dimensions; the languages en and null
+ROWS |= {"op11": len(DOCS), "op12": 6 * 2, "op13": 2 * 600}
 
 
 @pytest.mark.parametrize("name", sorted(REGISTRY))
