@@ -89,8 +89,8 @@ def to_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, place = ngrams(whole.slice(lo, hi - lo))
             offsets = np.searchsorted(doc, np.arange(hi - lo + 1))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place, pa.int32()))
-            own = [batch.column(c).slice(lo, hi - lo) for c in ("shard", "quality")]
-            yield pa.record_batch([*own, lists], names=["shard", "quality", "places"])
+            own = [batch.column(c).slice(lo, hi - lo) for c in ("shard", "quality", "tie")]
+            yield pa.record_batch([*own, lists], names=["shard", "quality", "tie", "places"])
 
 
 def to_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +132,9 @@ def coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarr
 
 def fitter(ratio: np.ndarray, cost: float, rounds: int) -> Callable:
     def run(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values("quality", kind="stable")
+        # an order that rows bring with them, so that a fit does not depend on how they arrive
+        shard["bytes"] = [p.tobytes() for p in shard["places"]]
+        shard = shard.sort_values(["quality", "tie", "bytes"])
         rows = [unit_row(p, ratio) for p in shard["places"]]
         sign = 2.0 * shard["quality"].to_numpy() - 1
         weights = coordinate_descent(rows, sign, cost, rounds, seed=int(key[0]))
@@ -188,10 +190,11 @@ def fit(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int"))
+        .withColumn("tie", F.xxhash64("doc_id", F.lit(2)))
     )
-    # at most sample_rows rows of three numbers
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("shard", "quality", "text")
-    rows = stored(texts.mapInArrow(to_features, "shard int, quality int, places array<int>"), "features")
+    # at most sample_rows rows of four numbers
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("shard", "quality", "tie", "text")
+    rows = stored(texts.mapInArrow(to_features, "shard int, quality int, tie long, places array<int>"), "features")
     size = {(r["shard"] > 0, r["quality"]): r["n"] for r in rows.groupBy("shard", "quality").agg(F.count("*").alias("n")).groupBy((F.col("shard") > 0).alias("shard"), "quality").agg(F.sum("n").alias("n")).collect()}
     if not all(size.get((True, k)) for k in (0, 1)):
         one, zero = (sum(n for (_, q), n in size.items() if q == k) for k in (1, 0))
@@ -206,7 +209,7 @@ def fit(
     weights = np.mean([np.frombuffer(p["weights"], "<f8") for p in sorted(parts, key=lambda p: p["shard"])], axis=0)
     raw = Model(ratio, weights, 1.0, 0.0)
     # the margins of one shard: at most about sample_rows / shards numbers
-    unseen = rows.where("shard = 0").mapInArrow(margin_writer(raw), "quality int, margin double").toPandas()
+    unseen = rows.where("shard = 0").mapInArrow(margin_writer(raw), "quality int, margin double").toPandas().sort_values(["quality", "margin"])
     if unseen["quality"].nunique() < 2:
         return raw
     return Model(ratio, weights, *sigmoid_fit(unseen["margin"].to_numpy(), unseen["quality"].to_numpy()))

@@ -52,3 +52,11 @@ def test_without_both_labels_the_share_is_the_score(spark):
         model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
         scores = [r["score"] for r in quality.score_documents(docs, model).collect()]
         assert np.allclose(scores, want, atol=1e-5)
+
+
+def test_a_fit_does_not_depend_on_the_partitions(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = quality.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    first, second = quality.fit(docs, labels), quality.fit(docs.orderBy("n_chars").repartition(7), labels)
+    assert np.array_equal(first.weights, second.weights) and (first.slope, first.offset) == (second.slope, second.offset)
