@@ -5,12 +5,17 @@ each, in any order that is the same for all sets (prefix filter).  The order put
 are frequent in a sample last, so a passage in many sets is in few prefixes; the sample decides
 the cost and never the result.  Members that are first in one set only go nowhere.
 
-What shares a member is compared by size and by parity bitmaps: a bit is set if an odd number of
+The order also gives a place: of the pair's first shared member, at places i and j, at most
+``1 + min(n - i - 1, m - j - 1)`` members are shared, this one and what follows.  A pair is proposed
+where that bound allows the similarity; the bound holds its own at the first shared member, so a
+similar pair is proposed there at least, and most others nowhere.
+
+What is proposed is compared by parity bitmaps: a bit is set if an odd number of
 members fall on it, so the bits that differ are at most the members that differ.  The bitmap
 grows with its set, and a longer one folds to the length of a shorter one.
 
 Sets that are joined already are not compared.  A member of more than ``small`` sets has them
-compared side by side in blocks of about ``BLOCK_SETS``; there each set proposes its nearest
+compared side by side in blocks of at most about ``BLOCK_SETS`` and ``BLOCK_BYTES``; there each set proposes its nearest
 first, and the caller asks again with more, until no set has one left that it did not propose.
 
 Exact but for collisions of 64 bits of hash.
@@ -31,7 +36,10 @@ SAMPLE_TEXTS = 8_192
 FREQUENT = 1 << 20
 SMALL_GROUP = 32
 BLOCK_SETS = 4_096
+BLOCK_BYTES = 16 << 20
 EPSILON = 1e-9
+MEMBER = {"token": pa.int64(), "s1": pa.int64(), "place": pa.int32(), "n": pa.int32()}
+MEMBERS = "token long, s1 long, place int, n int"
 
 
 def parity_bits(members: np.ndarray) -> bytes:
@@ -82,7 +90,7 @@ def prefix_writer(members_of: Callable, similarity: float, frequent: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a set that comes often is told once in a while
         for batch in batches:
-            tokens, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            tokens, owners, places, sizes = [np.empty(0, np.uint64)], *([np.empty(0, np.int64)] for _ in range(3))
             for text in batch.column("text"):
                 members = np.unique(members_of(text.as_py() or ""))
                 owner = set_hash(members)[0]
@@ -93,41 +101,40 @@ def prefix_writer(members_of: Callable, similarity: float, frequent: np.ndarray,
                 seen.add(owner)
                 tokens.append(first_members(members, similarity, frequent, level))
                 owners.append(np.full(len(tokens[-1]), owner))
-            yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], names=["token", "s1"])
+                places.append(np.arange(len(tokens[-1])))
+                sizes.append(np.full(len(tokens[-1]), len(members)))
+            rest = [pa.array(np.concatenate(c), t) for c, t in ((owners, pa.int64()), (places, pa.int32()), (sizes, pa.int32()))]
+            yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), *rest], names=list(MEMBER))
 
     return run
 
 
 def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (token, s1) the distinct rows whose token has several sets."""
-    kept, told = [np.empty(0, np.int64)] * 2, False
-
-    def rows(tokens: np.ndarray, owners: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(tokens[at]), pa.array(owners[at])], names=["token", "s1"])
-
+    """Of rows sorted by (token, s1) the distinct ones whose token has several sets."""
+    kept, told = [np.empty(0, np.int64)] * len(MEMBER), False
     for batch in batches:
         if not batch.num_rows:
             continue
-        tokens, owners = (np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, ("token", "s1"), strict=True))
-        new = np.append(True, (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1]))
-        tokens, owners = tokens[new], owners[new]
-        like = tokens[1:] == tokens[:-1]
+        columns = [np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, MEMBER, strict=True)]
+        new = np.append(True, (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
+        columns = [c[new] for c in columns]
+        like = columns[0][1:] == columns[0][:-1]
         shared = np.append(False, like) | np.append(like, False)
         # the last row of the batch before is the first here; it may have been told
         shared_out = shared.copy()
         if told:
             shared_out[0] = False
-        yield rows(tokens, owners, shared_out)
-        told = bool(shared[-1]) if len(tokens) > 1 else told
-        kept = [tokens[-1:], owners[-1:]]
+        yield pa.record_batch([pa.array(c[shared_out], t) for c, t in zip(columns, MEMBER.values(), strict=True)], names=list(MEMBER))
+        told = bool(shared[-1]) if len(like) else told
+        kept = [c[-1:] for c in columns]
 
 
 def shared_prefixes(texts: DataFrame, n: int, similarity: float, members_of: Callable) -> DataFrame:
-    """(token, s1): the sets, by hash, that share a member among their first."""
+    """(token, s1, place, n): the sets, by hash, that share a member among their first, where and how large they are."""
     frequent, level = frequent_members(texts, n, members_of)
-    rows = texts.select("text").mapInArrow(prefix_writer(members_of, similarity, frequent, level), "token long, s1 long")
+    rows = texts.select("text").mapInArrow(prefix_writer(members_of, similarity, frequent, level), MEMBERS)
     rows = rows.repartition("token").sortWithinPartitions("token", "s1")
-    return stored(rows.mapInArrow(shared_only, "token long, s1 long"), "shared")
+    return stored(rows.mapInArrow(shared_only, MEMBERS), "shared")
 
 
 def possible_pairs(similarity: float) -> Callable:
@@ -194,23 +201,53 @@ def nearest_in_block(similarity: float, nearest: int) -> Callable:
 
 
 def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, m, node, root) of the tokens whose sets are not all joined yet.
+    """(token, m, weight, node, place, n, root) of the tokens whose sets are not all joined yet.
 
-    Of tokens with the same sets one stands for all.
+    Of tokens with the same sets the first stands for all: the order is the same in all sets.
     """
-    placed = members.join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("token", "node", "place", "n", F.coalesce("root", "node").alias("root"))
     whole = (F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("h2"))
-    groups = placed.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), *whole)
-    chosen = groups.where("low < high").groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token", "m")
+    sums = (F.count("*").alias("m"), F.sum("place").alias("places"), F.sum("n").alias("weight"))
+    groups = placed.groupBy("token").agg(*sums, F.min("root").alias("low"), F.max("root").alias("high"), *whole)
+    first = F.min(F.struct("places", "token", "weight")).alias("first")
+    chosen = groups.where("low < high").groupBy("m", "h1", "h2").agg(first).select("first.token", "m", "first.weight")
     return stored(placed.join(stored(chosen, "chosen"), "token"), "open")
 
 
+def proposer(similarity: float) -> Callable:
+    """The pairs of each token's sets that size and place allow; rows come sorted by token."""
+    share, names = similarity / (1 + similarity), ("token", "node", "root", "n", "place")
+
+    def pairs(token: np.ndarray, node: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        a, b, rest = [np.empty(0, np.int64)], [np.empty(0, np.int64)], n - place
+        for shift in range(1, len(token)):
+            i = np.flatnonzero(token[shift:] == token[:-shift])
+            if not len(i):
+                break
+            j = i + shift
+            ok = (root[i] != root[j]) & (np.minimum(rest[i], rest[j]) >= share * (n[i] + n[j]) - EPSILON)
+            a.append(np.minimum(node[i], node[j])[ok])
+            b.append(np.maximum(node[i], node[j])[ok])
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64)] * len(names)
+        for batch in batches:
+            columns = [np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, names, strict=True)]
+            change = np.flatnonzero(columns[0][1:] != columns[0][:-1])
+            cut = change[-1] + 1 if len(change) else 0
+            yield pairs(*(c[:cut] for c in columns))
+            kept = [c[cut:] for c in columns]
+        yield pairs(*kept)
+
+    return run
+
+
 def small_groups(opened: DataFrame, sets: DataFrame, similarity: float, small: int) -> DataFrame:
     """(a, b, cut): all pairs of small groups that may be similar."""
-    rows = opened.where(F.col("m") <= small)
-    x = rows.select("token", F.col("node").alias("a"), F.col("root").alias("x"))
-    y = rows.select("token", F.col("node").alias("b"), F.col("root").alias("y"))
-    pairs = stored(x.join(y, "token").where("a < b and x <> y").select("a", "b").distinct(), "pairs")
+    rows = opened.where(F.col("m") <= small).repartition("token").sortWithinPartitions("token")
+    found = rows.select("token", "node", "root", "n", "place").mapInArrow(proposer(similarity), "a long, b long")
+    pairs = stored(found.distinct(), "pairs")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
     pairs = pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(possible_pairs(similarity), "a long, b long")
@@ -219,7 +256,9 @@ def small_groups(opened: DataFrame, sets: DataFrame, similarity: float, small: i
 
 def large_groups(opened: DataFrame, sets: DataFrame, similarity: float, small: int, nearest: int) -> DataFrame:
     """(a, b, cut): the nearest pairs of large groups; ``cut`` if the first of the pair has more."""
-    rows = opened.where(F.col("m") > small).withColumn("parts", F.ceil(F.col("m") / BLOCK_SETS).cast("long"))
+    size = F.col("weight") / 2 + 32 * F.col("m")  # a bitmap has at most half a byte for each member, 32 at least
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK_SETS, size / BLOCK_BYTES)).cast("long")
+    rows = opened.where(F.col("m") > small).drop("n").withColumn("parts", parts)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     rows = rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).join(sets, "node")

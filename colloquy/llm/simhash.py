@@ -406,7 +406,7 @@ def copies(
     alike = equal.unionAll(alike_pairs(asked, nodes, rows, words, similarity))
 
     shared = shared_prefixes(rows, prints.count(), similarity, partial(shingle_hashes, words=words))
-    members = stored(shared.join(sets, "s1").select("token", F.col("lead").alias("node")), "members")
+    members = stored(shared.join(sets, "s1").select("token", "place", "n", F.col("lead").alias("node")), "members")
     sized = nodes.select("node", "n", "bits")
     roots, nearest, more = components(alike), NEAREST, True
     while more:
