@@ -43,6 +43,7 @@ struct, so their names cannot clash.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -383,8 +384,22 @@ RESULT = (
 )
 
 
-def result_of(data: bytes, spans: list[tuple[int, int]], keep: str) -> dict:
+def word_runs(data: bytes, runs: list[tuple[int, int]], words: int) -> list[tuple[int, int]]:
+    """Of the runs that hold that many whole words, from the first of these to the last."""
+    out = []
+    for a, b in runs:
+        begin = a if not a or data[a - 1 : a].isspace() else a + len(re.match(rb"\S*", data[a:b])[0])
+        end = b if b == len(data) or data[b : b + 1].isspace() else b - len(re.search(rb"\S*\Z", data[a:b])[0])
+        found = list(re.finditer(rb"\S+", data[begin:end])) if end > begin else []
+        if len(found) >= words:
+            out.append((begin + found[0].start(), begin + found[-1].end()))
+    return out
+
+
+def result_of(data: bytes, spans: list[tuple[int, int]], keep: str, words: int = 0) -> dict:
     runs = joined_spans(spans)
+    if words:
+        runs = word_runs(data, runs, words)
     borders = [0, *(x for run in runs for x in run), len(data)]
     kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
     return {
@@ -410,7 +425,7 @@ RESULT_TYPES = {
 }
 
 
-def finisher(keep: str, put_off: bool) -> Callable:
+def finisher(keep: str, put_off: bool, words: int = 0) -> Callable:
     """Apply the spans; with ``put_off`` rows that wait for the sort keep their text instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +434,7 @@ def finisher(keep: str, put_off: bool) -> Callable:
             out, data, spans = [], batch.column("data"), batch.column("_full")
             for i, later in enumerate(waits):
                 known = [(s["begin"], s["end"]) for s in spans[i].as_py() or []]
-                out.append(dict.fromkeys(RESULT_TYPES) if later else result_of(data[i].as_py(), known, keep))
+                out.append(dict.fromkeys(RESULT_TYPES) if later else result_of(data[i].as_py(), known, keep, words))
             arrays = [pa.array([o[c] for o in out], t) for c, t in RESULT_TYPES.items()]
             if not put_off:
                 yield pa.record_batch([batch.column("_row"), *arrays], names=["_row", *RESULT_TYPES])
@@ -476,11 +491,16 @@ def sorted_spans(texts: DataFrame, window: int, bucket: int) -> DataFrame:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "bytes", hot: int = HOT, bucket: int = BUCKET
+    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "bytes", hot: int = HOT, bucket: int = BUCKET, words: int = 0
 ) -> DataFrame:
     """For each row of ``docs`` (with doc_id and text): ``row``, all its columns but text, ``spans``,
     ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, as ``keep`` says, the remaining
-    bytes ``kept`` or ``text``."""
+    bytes ``kept`` or ``text``.
+
+    With ``words`` a run of repeated bytes goes only if it holds that many whole words (parted by
+    ASCII white space), and from the first of these to the last; ``window`` then has to be
+    shorter than a passage of so many words.
+    """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), text_bytes(F.col("text")).alias("data"))
     rows = rows.withColumns({"t1": F.xxhash64("data"), "t2": F.xxhash64(F.lit(7), "data"), "doc_id": F.col("_row.doc_id").cast("long")})
     found = rows.where(F.octet_length("data") >= window).select("t1", "t2", "doc_id", "data")
@@ -494,7 +514,7 @@ def remove_repeats(
     noted = rows.join(notes, ["t1", "t2"], "left").withColumns({"_waits": F.coalesce(F.size(mine) > 0, F.lit(False)), "_wanted": mine})
     row_type = rows.schema["_row"].dataType.simpleString()
     first = noted.select("_row", "t1", "t2", "_full", "_wanted", "_waits", "data").mapInArrow(
-        finisher(keep, True),
+        finisher(keep, True, words),
         f"_row {row_type}, t1 long, t2 long, _full {SPAN_LIST}, _wanted {WANTED}, _waits boolean, data binary, {RESULT}",
     )
     first = stored(first, "first")
@@ -516,7 +536,7 @@ def remove_repeats(
     late = waiting.join(stored(more, "more"), ["t1", "t2"], "left").select(
         "_row", "data", F.concat("_full", F.coalesce("_more", F.array().cast(SPAN_LIST))).alias("_full")
     )
-    late = late.mapInArrow(finisher(keep, False), f"_row {row_type}, {RESULT}")
+    late = late.mapInArrow(finisher(keep, False, words), f"_row {row_type}, {RESULT}")
     done = first.where("not _waits").select("_row", *RESULT_TYPES).unionAll(late)
     return done.select(F.col("_row").alias("row"), *[F.col(c).alias(c[1:]) for c in RESULT_TYPES])
 
@@ -524,4 +544,4 @@ def remove_repeats(
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, keep="").select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeats(docs, keep="text").select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
