@@ -17,6 +17,9 @@ from colloquy.llm.quality import THRESHOLD, fit, learnable, score_documents
 from colloquy.llm.simhash import without_copies
 from colloquy.llm.suffixes import remove_repeats
 
+REPEAT_WORDS = 51
+REPEAT_BYTES = 200
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that score under the threshold; the model learns as in the query."""
@@ -32,12 +35,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 400 bytes or more that occur elsewhere; every document stays.
+    """Cut passages of over 50 words that occur elsewhere; every document stays.
 
-    A null text comes out empty; ``n_chars`` is counted anew.
+    Repeats are found as runs of ``REPEAT_BYTES`` equal bytes and judged by their whole words.  So
+    a passage of 51 words is seen unless its words have under three letters each on average.  A
+    null text comes out empty; ``n_chars`` is counted anew.
     """
     importable(spark)
-    cut = remove_repeats(docs, keep="text")
+    cut = remove_repeats(docs, window=REPEAT_BYTES, gram=REPEAT_BYTES // 2, keep="text", words=REPEAT_WORDS)
     changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
