@@ -55,14 +55,13 @@ def s18(spark, sf):
 @query(
     "j20_transcript_summary_view",
     oracle(
-        "select t.user_id, left(coalesce(t.text, ''), 800) || '…' as snippet, s.summary from latest_talk t left join (select user_id, arg_max(summary, id) as summary from notes_raw where user_id % 3 > 0 group by 1) s on s.user_id = t.user_id"
+        "select t.user_id, left(coalesce(t.text, ''), 800) || '…' as snippet, s.summary from latest_talk t left join (select user_id, arg_max(summary, id) as summary from notes_raw group by 1) s on s.user_id = t.user_id"
     ),
 )
 def j20(spark, sf):
     talk = _talk(spark, sf).select("user_id", "doc_id", "created_at", F.substring(F.coalesce("text", F.lit("")), 1, 800).alias("text"))
     last = R.latest_rows(talk, ["user_id"], ["created_at", "doc_id"])
-    notes = standin(spark, sf, "notes_raw").filter(F.col("user_id") % 3 > 0)
-    summaries = notes.groupBy("user_id").agg(F.max_by("summary", "id").alias("summary"))
+    summaries = standin(spark, sf, "notes_raw").groupBy("user_id").agg(F.max_by("summary", "id").alias("summary"))
     return last.join(summaries, "user_id", "left").select("user_id", F.concat("text", F.lit("…")).alias("snippet"), "summary")
 
 
@@ -180,12 +179,12 @@ def x26(spark, sf):
     "x27_push_payload",
     oracle(
         """select m.id, to_json({'meeting': {'id': m.id, 'title': m.title, 'status': coalesce(m.status, '')}, 'summary': {'raw_md': coalesce(s.raw_md, '')}, 'blocks': [{'type': 'paragraph', 'content': case when length(coalesce(s.raw_md, '')) > 40 then left(s.raw_md, 40) || '…' else coalesce(s.raw_md, '') end}]}) as payload
-        from meetings m left join (select doc_id as id, summary || ' ' || purpose as raw_md from records where doc_id % 5 > 0) s on s.id = m.id"""
+        from meetings m left join (select doc_id as id, summary || ' ' || purpose as raw_md from records) s on s.id = m.id"""
     ),
 )
 def x27(spark, sf):
     m = standin(spark, sf, "meetings").select("id", "title", F.coalesce("status", F.lit("")).alias("status"))
-    s = _records(spark, sf).filter(F.col("doc_id") % 5 > 0).select(F.col("doc_id").alias("id"), F.concat_ws(" ", "summary", "purpose").alias("raw_md"))
+    s = _records(spark, sf).select(F.col("doc_id").alias("id"), F.concat_ws(" ", "summary", "purpose").alias("raw_md"))
     joined = m.join(s, "id", "left").withColumn("raw_md", F.coalesce("raw_md", F.lit("")))
     return N.push_payload(joined.drop("raw_md"), joined.select("id", "raw_md"), 40)
 

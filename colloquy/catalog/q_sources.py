@@ -195,15 +195,16 @@ def s12(spark, sf):
 @query(
     "s13_replace_by_key_sink",
     oracle(
-        """select meeting_id, id, summary from notes_raw where id % 2 = 0 and meeting_id not in (select meeting_id from notes_raw where id % 2 = 1 and meeting_id % 6 = 0)
+        """select meeting_id, id, summary from notes_raw where not (id % 2 = 1 and meeting_id % 6 = 0) and meeting_id not in (select meeting_id from notes_raw where id % 2 = 1 and meeting_id % 6 = 0)
         union all select meeting_id, id, 'new ' || summary from notes_raw where id % 2 = 1 and meeting_id % 6 = 0"""
     ),
 )
 def s13(spark, sf):
     path, staging = fresh_path(spark, "notes"), fresh_path(spark, "staging")
     notes = standin(spark, sf, "notes_raw").select("meeting_id", "id", "summary")
-    K.create_bucketed(notes.filter(F.col("id") % 2 == 0), path, "meeting_id", 16)
-    new = notes.filter((F.col("id") % 2 == 1) & (F.col("meeting_id") % 6 == 0)).withColumn("summary", F.concat(F.lit("new "), "summary"))
+    later = (F.col("id") % 2 == 1) & (F.col("meeting_id") % 6 == 0)
+    K.create_bucketed(notes.filter(~later), path, "meeting_id", 16)
+    new = notes.filter(later).withColumn("summary", F.concat(F.lit("new "), "summary"))
     # keys with a new row lose their old ones; a key without one loses nothing
     K.replace_by_key(spark, path, new, "meeting_id", 16, staging)
     return spark.read.parquet(path).drop("bucket")

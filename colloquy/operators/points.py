@@ -112,8 +112,8 @@ def sentence_score(sentence: Column, chunk_tokens: Column, source: Column | None
     return let(F.struct(F.lower(sentence).alias("low"), words.alias("words")), body)
 
 
-def chunk_lists(packed: Column) -> Column:
-    """(chunk, item) structs to an array of (chunk, items) in chunk order."""
+def chunk_lists(packed: Column, tagged: bool = False) -> Column:
+    """(chunk, item) structs to an array of (chunk, items) in chunk order; ``tagged`` ones keep ``slide``, too."""
 
     def cut(p: Column) -> Column:
         # chunks are runs of neighbours: each is a slice from its first position to the next one's
@@ -125,6 +125,7 @@ def chunk_lists(packed: Column) -> Column:
                 lambda a, k: F.struct(
                     F.get(p, a - 1)["chunk"].alias("chunk"),
                     F.transform(F.slice(p, a, F.get(edges, k + 1) - a), lambda c: c["item"]).alias("items"),
+                    *([F.transform(F.slice(p, a, F.get(edges, k + 1) - a), lambda c: c["slide"]).alias("slide")] if tagged else []),
                 ),
             ),
         )
@@ -132,18 +133,23 @@ def chunk_lists(packed: Column) -> Column:
     return let(packed, cut)
 
 
-def ranked_in_chunks(packed: Column, limit: int = 5) -> Column:
-    """Per chunk the best sentences by score, ties in text order."""
+def ranked_in_chunks(packed: Column, limit: int = 5, tagged: bool = False) -> Column:
+    """Per chunk the best sentences by score, ties in text order; of ``tagged`` ones slides score one less."""
+
+    def scored(c: Column, tokens: Column) -> Column:
+        if not tagged:
+            return F.transform(c["items"], lambda s: F.struct(sentence_score(s, tokens).alias("score"), s.alias("s")))
+        source = lambda t: F.when(t, "slide").otherwise("transcript")
+        return F.zip_with(
+            c["items"], c["slide"], lambda s, t: F.struct(sentence_score(s, tokens, source(t)).alias("score"), s.alias("s"))
+        )
 
     def of_chunk(c: Column) -> Column:
         return let(
             F.flatten(F.transform(c["items"], S.content_tokens)),
             lambda tokens: F.transform(
                 best_first(
-                    F.transform(
-                        c["items"],
-                        lambda s: F.struct(sentence_score(s, tokens).alias("score"), s.alias("s")),
-                    ),
+                    scored(c, tokens),
                     lambda x: x["score"],
                     limit,
                 ),
@@ -153,7 +159,7 @@ def ranked_in_chunks(packed: Column, limit: int = 5) -> Column:
             ),
         )
 
-    return F.flatten(F.transform(chunk_lists(packed), of_chunk))
+    return F.flatten(F.transform(chunk_lists(packed, tagged), of_chunk))
 
 
 # ---- W11: diverse picks ---------------------------------------------------------------------------
