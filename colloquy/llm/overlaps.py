@@ -1,9 +1,12 @@
 """Pairs of sets that may reach a Jaccard similarity: none that reaches it is missed.
 
 Two sets with that similarity share a member among the first ``n - ceil(similarity n) + 1`` of
-each, in any order that is the same for all sets (prefix filter).  The order puts members that
-are frequent in a sample last, so a passage in many sets is in few prefixes; the sample decides
-the cost and never the result.  Members that are first in one set only go nowhere.
+each, in any order that is the same for all sets (prefix filter).  The order puts members last
+that are frequent in a sample, and members that chance would make often: the product of the shares
+that their parts (the words of a shingle) have in the sample.  So neither a passage in many sets nor
+a run of common words is in many prefixes, and what chance makes two sets share grows no faster
+than the rarest runs do.  The sample decides the cost and never the result.  Members that are first
+in one set only go nowhere.
 
 The order also gives a place: of the pair's first shared member, at places i and j, at most
 ``1 + min(n - i - 1, m - j - 1)`` members are shared, this one and what follows.  A pair is proposed
@@ -24,6 +27,7 @@ Exact but for collisions of 64 bits of hash.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
@@ -34,6 +38,7 @@ from colloquy.llm.common import stored
 
 SAMPLE_TEXTS = 8_192
 FREQUENT = 1 << 20
+FREQUENT_PARTS = 1 << 18
 SMALL_GROUP = 32
 BLOCK_SETS = 4_096
 BLOCK_BYTES = 16 << 20
@@ -54,12 +59,34 @@ def folded(bits: np.ndarray, length: int) -> np.ndarray:
     return bits
 
 
-def first_members(members: np.ndarray, similarity: float, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Ranks:
+    """How common members are in a sample, in eighths of a power of two: seen, and by chance."""
+
+    members: np.ndarray
+    seen: np.ndarray
+    parts: np.ndarray
+    share: np.ndarray
+    unknown: int
+    total: int
+
+    def of(self, members: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """Ranks of the members of a text, in its order; member i is made of the parts from i on."""
+        share = looked_up(parts, self.parts, self.share, self.unknown)
+        sums = np.append(0, np.cumsum(share))
+        chance = sums[len(parts) - len(members) + 1 :] - sums[: len(members)] + self.total
+        return np.maximum(chance, looked_up(members, self.members, self.seen, np.iinfo(np.int64).min))
+
+
+def looked_up(asked: np.ndarray, keys: np.ndarray, values: np.ndarray, other: int) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(asked), other, np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], other)
+
+
+def first_members(members: np.ndarray, similarity: float, rank: np.ndarray) -> np.ndarray:
     """The members of which one is shared with any set that is similar enough."""
-    rank = np.zeros(len(members), np.int64)
-    if len(frequent) and len(members):
-        at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
-        rank = np.where(frequent[at] == members, level[at], 0)
     length = len(members) - ceil(similarity * len(members) - EPSILON) + 1
     return members[np.lexsort((members, rank))][:length]
 
@@ -67,24 +94,33 @@ def first_members(members: np.ndarray, similarity: float, frequent: np.ndarray,
 def member_writer(members_of: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(members_of(t.as_py() or "")) for t in batch.column("text")]
-            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["token"])
+            found = [members_of(t.as_py() or "") for t in batch.column("text")]
+            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["token"])
 
     return run
 
 
-def frequent_members(texts: DataFrame, n: int, members_of: Callable) -> tuple[np.ndarray, np.ndarray]:
-    """(members, sorted; how frequent each is) in a sample of fixed size, at most ``FREQUENT``."""
-    share = min(1.0, SAMPLE_TEXTS / max(1, n))
-    some = texts.where(F.pmod("t1", F.lit(1 << 30)) <= int(share * (1 << 30))).select("text")
-    counts = some.mapInArrow(member_writer(members_of), "token long").groupBy("token").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+def sampled(texts: DataFrame, members_of: Callable, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(members, sorted; how often each comes) of those that come ``least`` times, at most ``most``."""
+    counts = texts.mapInArrow(member_writer(members_of), "token long").groupBy("token").count().where(F.col("count") >= least)
+    found = counts.orderBy(F.desc("count"), "token").limit(most).toArrow()
     members = found.column("token").to_numpy().view(np.uint64)
     order = np.argsort(members)
-    return members[order], np.log2(found.column("count").to_numpy()[order]).astype(np.int64)
+    return members[order], found.column("count").to_numpy()[order]
+
+
+def ranks(texts: DataFrame, n: int, members_of: Callable, parts_of: Callable) -> Ranks:
+    """What a sample of fixed size tells; its tables have a fixed size too."""
+    part = min(1.0, SAMPLE_TEXTS / max(1, n))
+    some = texts.where(F.pmod("t1", F.lit(1 << 30)) <= int(part * (1 << 30))).select("text")
+    members, seen = sampled(some, lambda text: np.unique(members_of(text)), 3, FREQUENT)
+    parts, often = sampled(some, parts_of, 1, FREQUENT_PARTS)
+    eighths = lambda x: np.rint(8 * np.log2(x)).astype(np.int64)
+    total = int(eighths(max(1, int(often.sum()))))
+    return Ranks(members, eighths(seen), parts, eighths(often) - total, -8 - total, total)
 
 
-def prefix_writer(members_of: Callable, similarity: float, frequent: np.ndarray, level: np.ndarray) -> Callable:
+def prefix_writer(members_of: Callable, parts_of: Callable, similarity: float, order: Ranks) -> Callable:
     from colloquy.llm.simhash import set_hash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,14 +128,16 @@ def prefix_writer(members_of: Callable, similarity: float, frequent: np.ndarray,
         for batch in batches:
             tokens, owners, places, sizes = [np.empty(0, np.uint64)], *([np.empty(0, np.int64)] for _ in range(3))
             for text in batch.column("text"):
-                members = np.unique(members_of(text.as_py() or ""))
+                whole = text.as_py() or ""
+                listed = members_of(whole)
+                members, at = np.unique(listed, return_index=True)
                 owner = set_hash(members)[0]
                 if owner in seen or not len(members):
                     continue
                 if len(seen) > 1 << 16:
                     seen.clear()
                 seen.add(owner)
-                tokens.append(first_members(members, similarity, frequent, level))
+                tokens.append(first_members(members, similarity, order.of(listed, parts_of(whole))[at]))
                 owners.append(np.full(len(tokens[-1]), owner))
                 places.append(np.arange(len(tokens[-1])))
                 sizes.append(np.full(len(tokens[-1]), len(members)))
@@ -129,10 +167,10 @@ def shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [c[-1:] for c in columns]
 
 
-def shared_prefixes(texts: DataFrame, n: int, similarity: float, members_of: Callable) -> DataFrame:
+def shared_prefixes(texts: DataFrame, n: int, similarity: float, members_of: Callable, parts_of: Callable) -> DataFrame:
     """(token, s1, place, n): the sets, by hash, that share a member among their first, where and how large they are."""
-    frequent, level = frequent_members(texts, n, members_of)
-    rows = texts.select("text").mapInArrow(prefix_writer(members_of, similarity, frequent, level), MEMBERS)
+    order = ranks(texts, n, members_of, parts_of)
+    rows = texts.select("text").mapInArrow(prefix_writer(members_of, parts_of, similarity, order), MEMBERS)
     rows = rows.repartition("token").sortWithinPartitions("token", "s1")
     return stored(rows.mapInArrow(shared_only, MEMBERS), "shared")
 

@@ -405,7 +405,8 @@ def copies(
     equal = nodes.join(sets, ["s1", "s2"]).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     alike = equal.unionAll(alike_pairs(asked, nodes, rows, words, similarity))
 
-    shared = shared_prefixes(rows, prints.count(), similarity, partial(shingle_hashes, words=words))
+    members_of, parts_of = (partial(shingle_hashes, words=w) for w in (words, 1))
+    shared = shared_prefixes(rows, prints.count(), similarity, members_of, parts_of)
     members = stored(shared.join(sets, "s1").select("token", "place", "n", F.col("lead").alias("node")), "members")
     sized = nodes.select("node", "n", "bits")
     roots, nearest, more = components(alike), NEAREST, True
