@@ -33,33 +33,32 @@ def deduped(source: str, key: str, limit: int, cols: str = "s", group: str = "do
       qualify pos <= {limit}"""
 
 
-cte(
-    "cue_decisions",
-    deduped(
-        f"select doc_id, pos as ord, {steps_sql('s', C.SIGNAL_DECISION)} as s from signal_sents where {has('s', L.SIGNAL_DECISION)}",
-        sorted_key("s"),
-        14,
-    ),
-)
-cte(
-    "cue_risks",
-    deduped(
-        f"select doc_id, pos as ord, {steps_sql('s', C.SIGNAL_RISK)} as s from signal_sents where {has('s', L.SIGNAL_RISK)} and not {has('s', L.SIGNAL_NO_RISK)}",
-        sorted_key("s"),
-        16,
-    ),
-)
+def cue_decisions_sql(cues=L.SIGNAL_DECISION) -> str:
+    hits = f"select doc_id, pos as ord, {steps_sql('s', C.SIGNAL_DECISION)} as s from signal_sents where {has('s', cues)}"
+    return deduped(hits, sorted_key("s"), 14)
+
+
+def cue_risks_sql(cues=L.SIGNAL_RISK, none=L.SIGNAL_NO_RISK) -> str:
+    hits = f"select doc_id, pos as ord, {steps_sql('s', C.SIGNAL_RISK)} as s from signal_sents where {has('s', cues)}"
+    return deduped(hits + (f" and not {has('s', none)}" if none else ""), sorted_key("s"), 16)
+
+
 _NAME = first_sql("s", L.SIGNAL_NAME, 1)
-cte(
-    "cue_actions",
-    deduped(
+
+
+def cue_actions_sql(cues=L.SIGNAL_ACTION) -> str:
+    return deduped(
         f"""select * from (select doc_id, pos as ord, s as raw, {edges('s', '[ \\-•\\t]+')} as s, case when lower({_NAME}) not in ({", ".join(f"'{n}'" for n in L.SIGNAL_NOT_NAMES)}) then {_NAME} end as owner,
-        {first_sql('s', '(?i)' + L.SIGNAL_DATE)} as deadline from signal_sents where {has('s', L.SIGNAL_ACTION)}) z where owner is not null or contains(lower(raw), 'action')""",
+        {first_sql('s', '(?i)' + L.SIGNAL_DATE)} as deadline from signal_sents where {has('s', cues)}) z where owner is not null or contains(lower(raw), 'action')""",
         sorted_key("concat_ws(' ', owner, s)"),
         14,
         "s, owner, deadline",
-    ),
-)
+    )
+
+
+cte("cue_decisions", cue_decisions_sql())
+cte("cue_risks", cue_risks_sql())
+cte("cue_actions", cue_actions_sql())
 CUE_SQL = """select doc_id, 'decision' as kind, pos, s as text, cast(null as varchar) as owner, cast(null as varchar) as deadline from cue_decisions
     union all select doc_id, 'action', pos, s, owner, deadline from cue_actions union all select doc_id, 'risk', pos, s, null, null from cue_risks"""
 

@@ -34,17 +34,20 @@ def kind_rows(df: DataFrame, keys: list[str], kinds: dict[str, Column]) -> DataF
 
 
 # ---- X02 -------------------------------------------------------------------------------
+def cued(s: Column, cues: tuple[str, ...]) -> Column:
+    """Whether any cue occurs; a list that was replaced by an empty one finds nothing."""
+    return T.has_any(s, cues) if cues else F.lit(False)
+
+
 def cue_decisions(sents: Column, cues=L.SIGNAL_DECISION, limit: int = 14) -> Column:
-    hits = F.filter(sents, lambda s: T.has_any(s, cues))
+    hits = F.filter(sents, lambda s: cued(s, cues))
     return keep_first(
         F.transform(hits, lambda s: C.apply(s, C.SIGNAL_DECISION)), T.sorted_token_key, limit
     )
 
 
-def cue_risks(sents: Column, cues=L.SIGNAL_RISK, limit: int = 16) -> Column:
-    hits = F.filter(
-        sents, lambda s: T.has_any(s, cues) & ~T.has_any(s, L.SIGNAL_NO_RISK)
-    )
+def cue_risks(sents: Column, cues=L.SIGNAL_RISK, limit: int = 16, none=L.SIGNAL_NO_RISK) -> Column:
+    hits = F.filter(sents, lambda s: cued(s, cues) & ~cued(s, none))
     return keep_first(
         F.transform(hits, lambda s: C.apply(s, C.SIGNAL_RISK)), T.sorted_token_key, limit
     )
@@ -52,7 +55,7 @@ def cue_risks(sents: Column, cues=L.SIGNAL_RISK, limit: int = 16) -> Column:
 
 def cue_actions(sents: Column, cues=L.SIGNAL_ACTION, limit: int = 14) -> Column:
     hits = F.transform(
-        F.filter(sents, lambda s: T.has_any(s, cues)),
+        F.filter(sents, lambda s: cued(s, cues)),
         lambda s: F.struct(s.alias("s"), T.owner_signal(s).alias("owner")),
     )
     owned = F.filter(hits, lambda h: h["owner"].isNotNull() | F.lower(h["s"]).contains("action"))
@@ -67,15 +70,27 @@ def cue_actions(sents: Column, cues=L.SIGNAL_ACTION, limit: int = 14) -> Column:
     )
 
 
-def cue_signals(df: DataFrame) -> DataFrame:
-    """Decisions, actions and risks by cue lists, each deduped on its token set."""
+CUE_LISTS = {
+    "SIGNAL_DECISION": L.SIGNAL_DECISION,
+    "SIGNAL_ACTION": L.SIGNAL_ACTION,
+    "SIGNAL_RISK": L.SIGNAL_RISK,
+    "SIGNAL_NO_RISK": L.SIGNAL_NO_RISK,
+}
+
+
+def cue_signals(df: DataFrame, lists: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Decisions, actions and risks by cue lists, each deduped on its token set.
+
+    ``lists`` replaces those of ``CUE_LISTS`` that it names, as ``load_lexicons`` gives them.
+    """
+    cues = CUE_LISTS | (lists or {})
     # a column of its own, so the three kinds share one split
     split = df.withColumn("sents", S.sentences_signal(F.col("text")))
     sents = F.col("sents")
     kinds = {
-        "decision": F.transform(cue_decisions(sents), lambda s: item(s)),
-        "action": cue_actions(sents),
-        "risk": F.transform(cue_risks(sents), lambda s: item(s)),
+        "decision": F.transform(cue_decisions(sents, cues["SIGNAL_DECISION"]), lambda s: item(s)),
+        "action": cue_actions(sents, cues["SIGNAL_ACTION"]),
+        "risk": F.transform(cue_risks(sents, cues["SIGNAL_RISK"], none=cues["SIGNAL_NO_RISK"]), lambda s: item(s)),
     }
     return kind_rows(split, ["doc_id"], kinds)
 

@@ -518,6 +518,21 @@ def polish_risks(risks: Column, limit: int = 5, threshold: float = 0.70) -> Colu
     return F.transform(F.aggregate(packed, F.array().cast(f"array<{ddl}>"), step), lambda k: k["x"])
 
 
+def polish_points(points: Column) -> Column:
+    return no_blank(F.transform(head(points, 8), lambda p: F.regexp_replace(T.squash(p), r"^[ .]+|[ .]+$", "")))
+
+
+def points_with_rules(points: Column, said: Column, rules: tuple[R.PhraseRule, ...], most: int = 6) -> Column:
+    """Key points, and while there are fewer than ``most``, those of the rules that ``said`` meets."""
+
+    def joined(s: Column) -> Column:
+        new = F.filter(s["e"], lambda e: ~F.exists(s["p"], lambda p: T.compact_key(p) == T.compact_key(e)))
+        return F.concat(s["p"], head(new, F.greatest(F.lit(0), F.lit(most) - F.size(s["p"]))))
+
+    extra = F.transform(R.phrase_items(said, rules), lambda x: x["text"])
+    return let(F.struct(polish_points(points).alias("p"), extra.alias("e")), joined)
+
+
 def long_polish(
     records: DataFrame, rules: tuple[R.PhraseRule, ...], min_chars: int = 75_000
 ) -> DataFrame:
@@ -525,19 +540,11 @@ def long_polish(
     c = F.col
     talk = F.coalesce(c("text"), F.lit(""))
     is_long = (F.length(talk) >= min_chars) | F.lower(talk).rlike(L.any_text(LONG_WORDS))
-    points = no_blank(F.transform(head(c("key_points"), 8), lambda p: F.regexp_replace(T.squash(p), r"^[ .]+|[ .]+$", "")))
-    extra = F.transform(R.phrase_items(talk, rules), lambda x: x["text"])
-    room = F.greatest(F.lit(0), F.lit(6) - F.size(points))
-    added = let(
-        F.struct(points.alias("p"), extra.alias("e")),
-        lambda s: F.filter(
-            s["e"], lambda e: ~F.exists(s["p"], lambda p: T.compact_key(p) == T.compact_key(e))
-        ),
-    )
+    points = points_with_rules(c("key_points"), talk, rules)
     return records.withColumn("is_long", is_long).withColumns(
         {
             "risks": F.when(is_long, polish_risks(c("risks"))).otherwise(c("risks")),
-            "key_points": F.when(is_long, head(F.concat(points, head(added, room)), 8)).otherwise(c("key_points")),
+            "key_points": F.when(is_long, head(points, 8)).otherwise(c("key_points")),
         }
     )
 
