@@ -11,6 +11,7 @@ from colloquy.operators import meetings as M
 from colloquy.sources.standins import STANDINS, standin
 from colloquy.streaming import alerts, jobs as J, webhooks as W
 from colloquy.streaming.runner import drain_append, drain_batches, drain_new_keys, query_home, stream_table
+from colloquy.streaming.state import drain_state
 
 AS_OF = "2024-01-20 12:00:00"
 EMAIL_SQL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
@@ -223,21 +224,31 @@ def j05(spark, sf):
     return matched.select("provider", "provider_event_id", "order_id", "payment_id", "attempt_id")
 
 
-@query(
-    "t04_attempt_state",
-    oracle(
-        f"""select a.id, a.user_id, case when c.attempt_id is not null then 'captured' else a.status end as status,
+T04_SQL = f"""select a.id, a.user_id, case when c.attempt_id is not null then 'captured' else a.status end as status,
         coalesce(c.paid_by, a.provider_payment_id) as provider_payment_id, strftime(c.completed_at, '{TS}') as completed_at
         from billing_payment_attempts a left join (select attempt_id, min(ts) as completed_at, arg_max(payment_id, ts) as paid_by
         from hooks_attempt where effect = 'activate' and attempt_id is not null group by 1) c on c.attempt_id = a.id"""
-    ),
-)
+
+
+@query("t04_attempt_state", oracle(T04_SQL))
 def t04(spark, sf):
     attempts = standin(spark, sf, "billing_payment_attempts")
     matched = W.match_attempts(_routed(spark, sf), attempts)
     return W.attempt_state(attempts, matched).withColumn("completed_at", stamp("completed_at"))
 
 
+@query("t04_attempt_state_stream", oracle(T04_SQL))
+def t04_stream(spark, sf):
+    """Micro-batches merge into a bucketed state; a repeated delivery changes nothing."""
+    attempts = standin(spark, sf, "billing_payment_attempts")
+    events = stream_table(spark, f"{sf}/events.parquet")
+    hooks = W.project_payload(spark.sql(STANDINS["webhooks"], events=events)).filter(F.col("provider_event_id") != "")
+    matched = W.match_attempts(W.route(W.match_users(hooks, standin(spark, sf, "users"))), attempts)
+    home = query_home(spark, "attempt-state", sf)
+    state, _ = drain_state(spark, matched, "attempt-state", ["attempt_id"], W.captures, W.merge_captures, home)
+    return W.with_captures(attempts, state).withColumn("completed_at", stamp("completed_at"))
+
+
 T06_SQL = f"""select id, case when stale then 'ERROR' else status end as status, stale as changed from (
     select id, status, coalesce(upper(status) = 'PROCESSING' and coalesce(processing_stage, '') <> 'completed' and updated_at <= timestamp '{AS_OF}' - interval '4' hour, false) as stale from meetings) t"""
 
@@ -296,6 +307,18 @@ def t07_stream(spark, sf):
     return drain_append(spark, fired, "error-rate", query_home(spark, "error-rate", sf)).withColumn("window_start", stamp("window_start"))
 
 
+@query("t07_error_rate_corrected_stream", oracle(T07_SQL))
+def t07_corrected(spark, sf):
+    """Windows as a state that late rows correct, so all windows equal the batch result."""
+    events = stream_table(spark, f"{sf}/events.parquet")
+    requests = spark.sql(STANDINS["http_requests"], events=events).withColumn("ts", F.col("ts").cast("timestamp"))
+    counts, _ = drain_state(
+        spark, requests, "window-counts", ["window_start"], lambda batch: alerts.window_counts(batch, "1 hour"), alerts.merge_counts,
+        query_home(spark, "window-counts", sf), event_time="ts", delay=DELAY,
+    )
+    return alerts.rate_of_counts(counts, "1 hour", min_rate=0.001).withColumn("window_start", stamp("window_start"))
+
+
 @query(
     "t07_error_rate_sliding",
     oracle(

@@ -47,6 +47,24 @@ def error_rate(
     )
 
 
+def window_counts(requests: DataFrame, length: str = "5 minutes") -> DataFrame:
+    """Requests and errors per window, as a state that merges by sums."""
+    return requests.groupBy(F.window("ts", length)["start"].alias("window_start")).agg(
+        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status").startswith("5")).alias("errors")
+    )
+
+
+def merge_counts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("window_start").agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"))
+
+
+def rate_of_counts(counts: DataFrame, length: str = "5 minutes", min_rate: float = MIN_RATE) -> DataFrame:
+    """T07 from window counts, late rows and windows still open with them."""
+    share = F.col("errors") / F.col("requests")
+    firing = (share > ERROR_SHARE) & (F.col("requests") / _seconds(length) > min_rate)
+    return counts.select("window_start", "requests", "errors", F.round(share, 6).alias("error_share"), firing.alias("firing"))
+
+
 def latency_p95(
     requests: DataFrame, length: str = "5 minutes", step: str | None = None, accuracy: int = 100000
 ) -> DataFrame:

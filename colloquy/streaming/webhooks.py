@@ -300,6 +300,25 @@ def match_attempts(hooks: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
+def captures(matched: DataFrame) -> DataFrame:
+    """Of each attempt the first completion and the newest payment, as a state that merges."""
+    paid = matched.filter((F.col("effect") == "activate") & F.col("attempt_id").isNotNull())
+    newest = F.max(F.struct("ts", "payment_id")).alias("newest")
+    return paid.groupBy("attempt_id").agg(F.min("ts").alias("completed_at"), newest)
+
+
+def merge_captures(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("attempt_id").agg(F.min("completed_at").alias("completed_at"), F.max("newest").alias("newest"))
+
+
+def with_captures(attempts: DataFrame, state: DataFrame) -> DataFrame:
+    """Attempts with what the state says of them."""
+    joined = attempts.join(state, attempts["id"] == state["attempt_id"], "left")
+    status = F.when(F.col("attempt_id").isNotNull(), "captured").otherwise(F.col("status"))
+    paid_by = F.coalesce(F.col("newest.payment_id"), F.col("provider_payment_id"))
+    return joined.select("id", "user_id", status.alias("status"), paid_by.alias("provider_payment_id"), "completed_at")
+
+
 def attempt_state(attempts: DataFrame, matched: DataFrame) -> DataFrame:
     """Captured once a paid event matches, with the first completion time kept."""
     captures = (
