@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -147,9 +148,63 @@ def marks_main(tag: str, attributes: str) -> bool:
     return False
 
 
+class OpenTags:
+    """The open elements, with counts, so that an end tag or a new element that ends nothing costs no walk."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, bool, bool, bool, bool]] = []  # tag, barred, article, main, link
+        self.walls: list[int] = []  # places of the block elements among them
+        self.solid: list[int] = []  # the same without heads
+        self.blocks: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]  # inline elements since each wall
+
+    def state(self) -> tuple[bool, bool, bool, bool]:
+        return self.items[-1][1:] if self.items else (False, False, False, False)
+
+    def push(self, item: tuple[str, bool, bool, bool, bool]) -> None:
+        if item[0] in BLOCK_TAGS:
+            self.walls.append(len(self.items))
+            if item[0] != "head":
+                self.solid.append(len(self.items))
+            self.blocks[item[0]] += 1
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][item[0]] += 1
+        self.items.append(item)
+
+    def pop(self) -> str:
+        tag = self.items.pop()[0]
+        if tag in BLOCK_TAGS:
+            self.walls.pop()
+            if tag != "head":
+                self.solid.pop()
+            self.blocks[tag] -= 1
+            self.inline.pop()
+        else:
+            self.inline[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """End the nearest such element with all in it; an inline end tag does not end a block."""
+        if (self.blocks if tag in BLOCK_TAGS else self.inline[-1])[tag]:
+            while self.pop() != tag:
+                pass
+
+    def make_way(self, tag: str) -> None:
+        """End what a new element ends by itself: the nearest block element, seen through heads."""
+        ends = CLOSED_BY.get(tag, set()) | ({"p"} if tag in BLOCK_TAGS else set())
+        if not ends:
+            return
+        walls = self.walls if "head" in ends else self.solid
+        if walls and self.items[walls[-1]][0] in ends:
+            wall = walls[-1]
+            while len(self.items) > wall:
+                self.pop()
+
+
 def blocks_of(page: str) -> Iterator[Block]:
     """The blocks of a page, in order; some have no text."""
-    stack: list[tuple[str, bool, bool, bool, bool]] = []  # tag, barred, article, main, link
+    stack = OpenTags()
     state = (False, False, False, False)
     block, at, n = Block([]), 0, len(page)
 
@@ -178,30 +233,18 @@ def blocks_of(page: str) -> Iterator[Block]:
         elif tag == "br":
             block.parts.append(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
-                    break  # an inline end tag does not end a block
+            stack.close(tag)
         elif tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             if not attributes.endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else n
         elif tag not in VOID_TAGS:
-            ends = CLOSED_BY.get(tag, set())
-            for i in range(len(stack) - 1, -1, -1):
-                open_tag = stack[i][0]
-                if open_tag in ends or (open_tag == "p" and tag in BLOCK_TAGS):
-                    del stack[i:]
-                    break
-                if open_tag in BLOCK_TAGS and open_tag not in ("head",):
-                    break
-            barred, article, main, link = stack[-1][1:] if stack else (False, False, False, False)
+            stack.make_way(tag)
+            barred, article, main, link = stack.state()
             barred = barred or barred_by(tag, attributes, article or main)
             main = main or (not barred and marks_main(tag, attributes))
-            stack.append((tag, barred, article or tag == "article", main, link or tag == "a"))
-        state = stack[-1][1:] if stack else (False, False, False, False)
+            stack.push((tag, barred, article or tag == "article", main, link or tag == "a"))
+        state = stack.state()
     yield block
 
 

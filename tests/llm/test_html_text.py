@@ -1,6 +1,9 @@
+import random
+import time
+
 import pytest
 
-from colloquy.llm.html_text import main_text
+from colloquy.llm.html_text import BLOCK_TAGS, CLOSED_BY, OpenTags, main_text
 
 PROSE = "The house of the old man was at the end of the road and it had been there for a long time. "
 CASES = {
@@ -46,3 +49,38 @@ def test_table_articles(spark, sf_dir):
         body = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
         want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", body))).split())
         assert (r["text"], r["n_chars"]) == (want, len(want))
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000, "<b>" * 20_000 + "<p>x" * 20_000, "<script/>" * 20_000, "<head>" * 20_000 + "<p>" * 20_000, "<div><p>" * 10_000 + "</b>" * 20_000])
+def test_deep_and_stray_tags_cost_in_proportion(page):
+    began = time.perf_counter()
+    main_text(f"<p>{PROSE}{page}")
+    assert time.perf_counter() - began < 5
+
+
+def test_open_tags_end_as_a_walk_over_all_would():
+    rng = random.Random(5)
+    tags = ["p", "b", "i", "li", "ul", "td", "tr", "th", "dt", "dd", "div", "head", "body", "option", "a"]
+    for _ in range(300):
+        fast, slow = OpenTags(), []
+        for _ in range(60):
+            tag = rng.choice(tags)
+            if rng.random() < 0.5:
+                fast.close(tag)
+                for i in range(len(slow) - 1, -1, -1):
+                    if slow[i] == tag:
+                        del slow[i:]
+                        break
+                    if tag not in BLOCK_TAGS and slow[i] in BLOCK_TAGS:
+                        break
+            else:
+                fast.make_way(tag)
+                for i in range(len(slow) - 1, -1, -1):
+                    if slow[i] in CLOSED_BY.get(tag, set()) or (slow[i] == "p" and tag in BLOCK_TAGS):
+                        del slow[i:]
+                        break
+                    if slow[i] in BLOCK_TAGS and slow[i] != "head":
+                        break
+                fast.push((tag, False, False, False, False))
+                slow.append(tag)
+            assert [x[0] for x in fast.items] == slow
