@@ -14,6 +14,11 @@ one, so the same lattice with the same back pointers gives the library's ids.  W
 pieces allow each other is found by undoing, merge by merge, what lies next to their border, for
 all distinct pairs of a batch at once.
 
+Units of more than 256 characters (text without spaces) would advance alone, so for a byte-pair
+model they are cut into overlapping windows, which advance together and are joined where both
+have the same piece; see ``encode_long``.  Long units of a unigram model advance alone.  The keys
+of pieces are 64-bit hashes and are not compared with the text again.
+
 Characters without a piece become byte pieces if the model has them, else the unknown id (a run
 of them is one unknown).  Decoding gathers the pieces' bytes by index, turns signs into spaces
 and takes away the sign that encoding put in front.
@@ -44,6 +49,8 @@ UNIT = re.compile(f"{SIGN}+[^{SIGN}]*|[^{SIGN}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE_UNITS = 600_000
 CELLS = 1 << 19
+WINDOW = 256
+NO_CHARACTER = 0x110000  # stands behind the end of a unit; no piece has it
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # fixed values: kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2  # fixed values: kinds of models
 PENALTY = np.float32(10)
@@ -236,13 +243,18 @@ class Vocabulary:
         """(ids of all units one after another, how many each unit has)."""
         by_length, order, ids, sizes = defaultdict(list), [], [], []
         for i, u in enumerate(units):
-            by_length[len(u)].append(i)
+            by_length[len(u) if self.kind == UNIGRAM or len(u) <= WINDOW else None].append(i)
+        for i, flat, n in self.encode_long(by_length.pop(None, []), units):
+            order.append(i)
+            ids.append(flat)
+            sizes.append(n)
         for length, some in by_length.items():
             step = max(1, CELLS // (length + 1))
             for at in range(0, len(some), step):
                 rows = some[at : at + step]
                 chars = np.frombuffer("".join(units[i] for i in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), length)
-                flat, n = self.walk(chars, *self.cut_units(chars.astype(np.uint64)))
+                found, ends, row = self.follow(*self.cut_units(chars.astype(np.uint64)))
+                flat, n = self.spell(found, chars[row, ends - 1], row, len(rows))
                 order.extend(rows)
                 ids.append(flat)
                 sizes.append(n)
@@ -253,27 +265,61 @@ class Vocabulary:
         begins = (np.cumsum(n) - n)[back]
         return gathered(flat, begins, n[back]), n[back]
 
-    def walk(self, chars: np.ndarray, piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Follow the back pointers of all units together; spell out what has no piece."""
+    def encode_long(self, which: list[int], units: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(number, ids, how many) of long units of a byte-pair model.
+
+        Windows of all units advance together.  Two neighbouring windows are joined at a piece that
+        both have in the same place: all neighbours in the joined way allow each other, so it is the
+        merge result.  Units with no such piece are done again in windows twice as wide, in the end
+        in one.
+        """
+        window = WINDOW
+        codes = {i: np.frombuffer(units[i].encode("utf-32-le", "surrogatepass"), "<u4") for i in which}
+        while codes:
+            shared, step = window // 4, max(1, CELLS // (window + 1))
+            slots = [(i, at) for i, c in codes.items() for at in range(0, max(1, len(c) - shared), window - shared)]
+            ways = defaultdict(list)
+            for lo in range(0, len(slots), step):
+                some = slots[lo : lo + step]
+                chars = np.full((len(some), window), NO_CHARACTER, np.uint64)
+                for row, (i, at) in enumerate(some):
+                    part = codes[i][at : at + window]
+                    chars[row, : len(part)] = part
+                found, ends, row = self.follow(*self.cut_units(chars))
+                edges = np.searchsorted(row, np.arange(len(some) + 1))
+                for k, (i, at) in enumerate(some):
+                    mine = slice(edges[k], edges[k + 1])
+                    ways[i].append((found[mine], ends[mine] + at))
+            for i, way in ways.items():
+                if (whole := joined(way, window - shared, len(codes[i]))) is not None:
+                    found, ends = whole
+                    yield i, *self.spell(found, codes.pop(i)[ends - 1], np.zeros(len(found), np.int64), 1)
+            window *= 2
+
+    def follow(self, piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces, where they end, their rows) on the best ways, found by the back pointers of all rows together."""
         n, at = len(piece), np.full(len(piece), piece.shape[1] - 1)
-        steps, last, rows = [], [], np.arange(n)
+        steps, ends, rows = [], [], np.arange(n)
         on = at > 0
         while on.any():
             steps.append(np.where(on, piece[rows, at], -1).astype(np.int32))
-            last.append(chars[rows, at - 1])
+            ends.append(at)
             at = np.where(on, at - back[rows, at], 0)
             on = at > 0
         ways = np.array(steps[::-1], np.int32).T
         full = ways >= 0
-        ids, row = ways[full], np.nonzero(full)[0]
+        return ways[full], np.array(ends[::-1]).T[full], np.nonzero(full)[0]
+
+    def spell(self, ids: np.ndarray, code: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each of n rows has), with what has no piece spelt out; ``code`` is each piece's last character."""
         bare = ids == self.size
         if not bare.any():
-            return ids, full.sum(axis=1)
+            return ids, np.bincount(row, minlength=n)
         if not self.bytes:
             again = np.append(False, bare[1:] & bare[:-1] & (row[1:] == row[:-1]))
             ids = np.where(bare, self.unknown, ids)[~again].astype(np.int32)
             return ids, np.bincount(row[~again], minlength=n)
-        code = np.array(last[::-1]).T[full].astype(np.int64)
+        code = code.astype(np.int64)
         size = np.where(bare, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 1)
         place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         ids, bare, code, total = (np.repeat(x, size) for x in (ids, bare, code, size))
@@ -283,6 +329,27 @@ class Vocabulary:
         return np.where(bare, self.byte_ids[byte & 0xFF], ids).astype(np.int32), np.bincount(np.repeat(row, size), minlength=n)
 
 
+def joined(ways: list[tuple[np.ndarray, np.ndarray]], stride: int, length: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(pieces, ends) of a unit from those of its windows; None if two windows share no piece."""
+    starts = [np.append(k * stride, ends[:-1]) for k, (_, ends) in enumerate(ways)]
+    pieces, places, done = [], [], 0
+    for k, (found, ends) in enumerate(ways):
+        until = length
+        if k + 1 < len(ways):
+            mine = starts[k] >= (k + 1) * stride
+            both = np.intersect1d(starts[k][mine], starts[k + 1])
+            after = ends[np.searchsorted(starts[k], both)]
+            same = after == ways[k + 1][1][np.searchsorted(starts[k + 1], both)]
+            if not same.any():
+                return None
+            until = after[same][0]
+        keep = (starts[k] >= done) & (ends <= until)
+        pieces.append(found[keep])
+        places.append(ends[keep])
+        done = until
+    return np.concatenate(pieces), np.concatenate(places)
+
+
 def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The slices of ``flat`` that begin there, one after another."""
     before = np.cumsum(sizes) - sizes

@@ -1,3 +1,7 @@
+import base64
+import random
+import time
+
 import pytest
 import sentencepiece
 
@@ -58,3 +62,32 @@ def test_a_model_that_changes_texts_is_refused(model):
     changed = model.replace(b"\x1a\x0e\x0a\x08identity", b"\x1a\x0e\x0a\x08identity")
     with pytest.raises(ValueError):
         pieces.Vocabulary(changed + b"\x1a\x02\x20\x01")
+
+
+def long_units():
+    rng = random.Random(7)
+    common = "的一是不了人我在有他这中大来上国日本語テキスト"
+    yield "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(16_000))
+    yield "".join(rng.choice(common) for _ in range(4_000))
+    yield base64.b64encode(rng.randbytes(6_000)).decode()
+    yield "".join(rng.choice("etaoinshrdlu") for _ in range(5_000))
+    yield "".join(rng.choice(["the", "and", "ing", "😀", "ß", "1234", "x" * 40, "."]) for _ in range(2_000))
+    for unit, n in (("a", 5_000), ("ab", 3_001), ("abcde", 1_000), ("=", 4_099), ("the", 999), ("😀", 700), ("lo", 128), ("l", 257)):
+        yield unit * n
+    for n in (255, 256, 257, 320, 321, 448, 449, 512):
+        yield "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+
+
+def test_text_without_spaces_equals_the_library(model):
+    texts = list(long_units()) + ["short words", "one " + "zyx" * 300 + " two"]
+    library, coder = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Coder(model)
+    ids, ends = coder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == library.encode(texts, num_threads=1)
+
+
+def test_text_without_spaces_is_not_walked_alone(model):
+    coder, text = pieces.Coder(model), next(long_units())
+    began = time.perf_counter()
+    ids, _ = coder.encode([text])
+    assert time.perf_counter() - began < 4
+    assert coder.decode(ids) == text
