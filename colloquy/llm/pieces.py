@@ -50,6 +50,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 CACHE_UNITS = 600_000
 CELLS = 1 << 19
 WINDOW = 256
+SHIFTS = 4
 NO_CHARACTER = 0x110000  # stands behind the end of a unit; no piece has it
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # fixed values: kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2  # fixed values: kinds of models
@@ -270,14 +271,18 @@ class Vocabulary:
 
         Windows of all units advance together.  Two neighbouring windows are joined at a piece that
         both have in the same place: all neighbours in the joined way allow each other, so it is the
-        merge result.  Units with no such piece are done again in windows twice as wide, in the end
-        in one.
+        merge result.  Where there is no such piece, as in a run of one sign that the windows cut out
+        of step, the later windows are moved to a border of the earlier one, a few times; after that
+        the unit is done in windows twice as wide, in the end in one.
         """
-        window = WINDOW
+        window, tries = WINDOW, 0
         codes = {i: np.frombuffer(units[i].encode("utf-32-le", "surrogatepass"), "<u4") for i in which}
+        starts: dict[int, np.ndarray] = {}
         while codes:
             shared, step = window // 4, max(1, CELLS // (window + 1))
-            slots = [(i, at) for i, c in codes.items() for at in range(0, max(1, len(c) - shared), window - shared)]
+            if not tries:
+                starts = {i: np.arange(0, max(1, len(c) - shared), window - shared) for i, c in codes.items()}
+            slots = [(i, at) for i in codes for at in starts[i].tolist()]
             ways = defaultdict(list)
             for lo in range(0, len(slots), step):
                 some = slots[lo : lo + step]
@@ -291,10 +296,17 @@ class Vocabulary:
                     mine = slice(edges[k], edges[k + 1])
                     ways[i].append((found[mine], ends[mine] + at))
             for i, way in ways.items():
-                if (whole := joined(way, window - shared, len(codes[i]))) is not None:
-                    found, ends = whole
+                found, ends, apart = joined(way, starts[i], len(codes[i]))
+                if not apart:
                     yield i, *self.spell(found, codes.pop(i)[ends - 1], np.zeros(len(found), np.int64), 1)
-            window *= 2
+                else:
+                    begins = starts[i].copy()
+                    for k, end in zip(apart, apart[1:] + [len(begins)], strict=True):
+                        borders, begin = way[k][1], begins[k + 1]
+                        starts[i][k + 1 : end + 1] += borders[min(np.searchsorted(borders, begin), len(borders) - 1)] - begin
+            tries = (tries + 1) % SHIFTS
+            if not tries:
+                window *= 2
 
     def follow(self, piece: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pieces, where they end, their rows) on the best ways, found by the back pointers of all rows together."""
@@ -329,25 +341,26 @@ class Vocabulary:
         return np.where(bare, self.byte_ids[byte & 0xFF], ids).astype(np.int32), np.bincount(np.repeat(row, size), minlength=n)
 
 
-def joined(ways: list[tuple[np.ndarray, np.ndarray]], stride: int, length: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """(pieces, ends) of a unit from those of its windows; None if two windows share no piece."""
-    starts = [np.append(k * stride, ends[:-1]) for k, (_, ends) in enumerate(ways)]
-    pieces, places, done = [], [], 0
+def joined(ways: list[tuple[np.ndarray, np.ndarray]], starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(pieces, ends, windows that share no piece with the next) of a unit from those of its windows; right if there are none."""
+    begins = [np.append(at, ends[:-1]) for at, (_, ends) in zip(starts, ways, strict=True)]
+    pieces, places, apart, done = [], [], [], 0
     for k, (found, ends) in enumerate(ways):
         until = length
         if k + 1 < len(ways):
-            mine = starts[k] >= (k + 1) * stride
-            both = np.intersect1d(starts[k][mine], starts[k + 1])
-            after = ends[np.searchsorted(starts[k], both)]
-            same = after == ways[k + 1][1][np.searchsorted(starts[k + 1], both)]
+            both = np.intersect1d(begins[k][begins[k] >= max(done, starts[k + 1])], begins[k + 1])
+            after = ends[np.searchsorted(begins[k], both)]
+            same = (after == ways[k + 1][1][np.searchsorted(begins[k + 1], both)]) & (after <= length)
             if not same.any():
-                return None
+                apart.append(k)
+                done = starts[k + 1]
+                continue
             until = after[same][0]
-        keep = (starts[k] >= done) & (ends <= until)
+        keep = (begins[k] >= done) & (ends <= until)
         pieces.append(found[keep])
         places.append(ends[keep])
         done = until
-    return np.concatenate(pieces), np.concatenate(places)
+    return np.concatenate(pieces), np.concatenate(places), apart
 
 
 def gathered(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -74,6 +74,7 @@ def long_units():
     yield "".join(rng.choice(["the", "and", "ing", "😀", "ß", "1234", "x" * 40, "."]) for _ in range(2_000))
     for unit, n in (("a", 5_000), ("ab", 3_001), ("abcde", 1_000), ("=", 4_099), ("the", 999), ("😀", 700), ("lo", 128), ("l", 257)):
         yield unit * n
+    yield "w" + "=" * 900 + "q" + "-" * 901 + "zyx" * 100 + "_" * 902 + "a" * 903 + "0" * 904 + "." * 905
     for n in (255, 256, 257, 320, 321, 448, 449, 512):
         yield "".join(rng.choice("etaoinshrdlu") for _ in range(n))
 
