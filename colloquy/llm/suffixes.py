@@ -33,6 +33,10 @@ is the window itself, so that equal grams are equal windows and nothing is left
 per gram are summed before the shuffle, and all joins are plain equi joins against written
 tables, so that adaptive execution can split a hot key.
 
+Two rules at once.  With ``passages`` a second rule of shorter windows, judged by whole words,
+runs first.  A repeated string of ``window`` bytes lies, at each of its places, in a run of repeated
+shorter windows of at least that length, so only such runs are then searched for it.
+
 Defined cases: a null or empty text, or one shorter than a window, loses nothing; a repeated row
 repeats all its windows; a document with a null id is treated as any other; an empty table gives
 no rows; texts are worked on one at a time, in blocks.
@@ -51,12 +55,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from colloquy.llm.common import query, stored, table, text_bytes
 
 WINDOW = 400
 GRAM = 200
+PASSAGE_WINDOW = 200
+PASSAGE_GRAM = 100
+PASSAGE_WORDS = 51
 HOT = 256
 BUCKET = 2_048
 RUN_BYTES = 16 << 20
@@ -123,7 +130,10 @@ def contexts_of(data: bytes, window: int, gram: int) -> tuple[np.ndarray, np.nda
 
 
 def context_writer(window: int, gram: int) -> Callable:
-    """Contexts that are equal within a text share a row: ``more`` has the other places, if any."""
+    """Contexts that are equal within a text share a row: ``more`` has the other places, if any.
+
+    If there is a column ``_runs``, windows that do not lie in one of these runs are left out.
+    """
     from xxhash import xxh3_64_intdigest
 
     names = [c.split()[0] for c in CONTEXTS.split(", ")]
@@ -131,9 +141,15 @@ def context_writer(window: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [[np.empty(0, np.int64)] for _ in range(6)]
+            limited = "_runs" in batch.schema.names
             for i, value in enumerate(batch.column("data")):
                 data = value.as_py()
-                first, n, anchor, key = contexts_of(data, window, gram)
+                pieces = pairs(batch.column("_runs")[i]) if limited else [(0, len(data))]
+                found = [(a, contexts_of(data[a:b], window, gram)) for a, b in joined_spans(pieces) if b - a >= window]
+                if not found:
+                    continue
+                first, anchor = (np.concatenate([a + c[k] for a, c in found]) for k in (0, 2))
+                n, key = (np.concatenate([c[k] for _, c in found]) for k in (1, 3))
                 ends = (first + n - 1 + window).tolist()
                 whole = [xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), ends, strict=True)]
                 columns = (np.full(len(first), i), first, n, anchor - first, key.view(np.int64), np.array(whole, np.uint64).view(np.int64))
@@ -368,6 +384,10 @@ def part_writer(window: int, width: int) -> Callable:
     return run
 
 
+def pairs(spans: pa.Scalar) -> list[tuple[int, int]]:
+    return [(s["begin"], s["end"]) for s in spans.as_py() or []]
+
+
 def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -380,7 +400,7 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 RESULT = (
     "_spans array<struct<begin:long,end:long>>, _n_bytes long, _n_removed long, _n_spans long, _kept_sha256 string, "
-    "_kept binary, _text string"
+    "_kept binary, _text string, _n_passages long, _passage_bytes long, _passage_text string"
 )
 
 
@@ -396,12 +416,23 @@ def word_runs(data: bytes, runs: list[tuple[int, int]], words: int) -> list[tupl
     return out
 
 
+def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    borders = [0, *(x for run in runs for x in run), len(data)]
+    return b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
+
+
+def passage_result(data: bytes, spans: list[tuple[int, int]], words: int, same: bool) -> dict:
+    """The second rule; with ``same`` a text that loses nothing by it is not given again."""
+    found = word_runs(data, joined_spans(spans), words)
+    text = None if same and not found else without(data, found).decode("utf-8", "ignore")
+    return {"_n_passages": len(found), "_passage_bytes": sum(b - a for a, b in found), "_passage_text": text}
+
+
 def result_of(data: bytes, spans: list[tuple[int, int]], keep: str, words: int = 0) -> dict:
     runs = joined_spans(spans)
     if words:
         runs = word_runs(data, runs, words)
-    borders = [0, *(x for run in runs for x in run), len(data)]
-    kept = b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
+    kept = without(data, runs)
     return {
         "_spans": [{"begin": a, "end": b} for a, b in runs],
         "_n_bytes": len(data),
@@ -422,27 +453,36 @@ RESULT_TYPES = {
     "_kept_sha256": pa.string(),
     "_kept": pa.binary(),
     "_text": pa.string(),
+    "_n_passages": pa.int64(),
+    "_passage_bytes": pa.int64(),
+    "_passage_text": pa.string(),
 }
+NO_RESULT = dict.fromkeys(RESULT_TYPES)
+OF_PASSAGES = ("_n_passages", "_passage_bytes", "_passage_text")
 
 
-def finisher(keep: str, put_off: bool, words: int = 0) -> Callable:
+def finisher(keep: str, put_off: bool, words: int = 0, passage_words: int = 0) -> Callable:
     """Apply the spans; with ``put_off`` rows that wait for the sort keep their text instead."""
 
+    def result(data: bytes, spans: list[tuple[int, int]], runs: list[tuple[int, int]]) -> dict:
+        found = NO_RESULT | result_of(data, spans, keep, words)
+        if passage_words:
+            found |= passage_result(data, runs, passage_words, keep == "text" and not found["_spans"])
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             waits = batch.column("_waits").to_pylist() if put_off else [False] * batch.num_rows
-            out, data, spans = [], batch.column("data"), batch.column("_full")
-            for i, later in enumerate(waits):
-                known = [(s["begin"], s["end"]) for s in spans[i].as_py() or []]
-                out.append(dict.fromkeys(RESULT_TYPES) if later else result_of(data[i].as_py(), known, keep, words))
+            data, spans, runs = (batch.column(c) for c in ("data", "_full", "_runs"))
+            out = [NO_RESULT if later else result(data[i].as_py(), pairs(spans[i]), pairs(runs[i])) for i, later in enumerate(waits)]
             arrays = [pa.array([o[c] for o in out], t) for c, t in RESULT_TYPES.items()]
             if not put_off:
                 yield pa.record_batch([batch.column("_row"), *arrays], names=["_row", *RESULT_TYPES])
                 continue
             none = pa.scalar(None, pa.binary())
             later = pc.if_else(pa.array(waits, pa.bool_()), data, none)
-            own = [batch.column(c) for c in ("_row", "t1", "t2", "_full", "_wanted", "_waits")]
-            yield pa.record_batch([*own, later, *arrays], names=["_row", "t1", "t2", "_full", "_wanted", "_waits", "data", *RESULT_TYPES])
+            own = [batch.column(c) for c in ("_row", "t1", "t2", "_full", "_runs", "_wanted", "_waits")]
+            yield pa.record_batch([*own, later, *arrays], names=["_row", "t1", "t2", "_full", "_runs", "_wanted", "_waits", "data", *RESULT_TYPES])
 
     return run
 
@@ -490,36 +530,19 @@ def sorted_spans(texts: DataFrame, window: int, bucket: int) -> DataFrame:
     return runs.groupBy("bucket").applyInArrow(merger(window), SPANS)
 
 
-def remove_repeats(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep: str = "bytes", hot: int = HOT, bucket: int = BUCKET, words: int = 0
-) -> DataFrame:
-    """For each row of ``docs`` (with doc_id and text): ``row``, all its columns but text, ``spans``,
-    ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, as ``keep`` says, the remaining
-    bytes ``kept`` or ``text``.
-
-    With ``words`` a run of repeated bytes goes only if it holds that many whole words (parted by
-    ASCII white space), and from the first of these to the last; ``window`` then has to be
-    shorter than a passage of so many words.
-    """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), text_bytes(F.col("text")).alias("data"))
-    rows = rows.withColumns({"t1": F.xxhash64("data"), "t2": F.xxhash64(F.lit(7), "data"), "doc_id": F.col("_row.doc_id").cast("long")})
-    found = rows.where(F.octet_length("data") >= window).select("t1", "t2", "doc_id", "data")
+def repeat_notes(found: DataFrame, window: int, gram: int, hot: int) -> DataFrame:
     contexts = stored(found.mapInArrow(context_writer(window, gram), CONTEXTS), "contexts")
+    return noted_texts(*judged(contexts, window, hot))
 
-    full, wanted = judged(contexts, window, hot)
-    notes = noted_texts(full, wanted)
 
-    # one pass over the texts: most rows are done, the others wait for the sort
+def with_notes(rows: DataFrame, notes: DataFrame) -> DataFrame:
+    """``rows`` and what is known of their texts, and what each row's text is asked for."""
     mine = F.filter("_wanted", lambda w: w["doc_id"].eqNullSafe(F.col("doc_id")))
-    noted = rows.join(notes, ["t1", "t2"], "left").withColumns({"_waits": F.coalesce(F.size(mine) > 0, F.lit(False)), "_wanted": mine})
-    row_type = rows.schema["_row"].dataType.simpleString()
-    first = noted.select("_row", "t1", "t2", "_full", "_wanted", "_waits", "data").mapInArrow(
-        finisher(keep, True, words),
-        f"_row {row_type}, t1 long, t2 long, _full {SPAN_LIST}, _wanted {WANTED}, _waits boolean, data binary, {RESULT}",
-    )
-    first = stored(first, "first")
-    waiting = first.where("_waits").select("_row", "t1", "t2", "_full", "_wanted", "data")
+    return rows.join(notes, ["t1", "t2"], "left").withColumn("_wanted", mine)
 
+
+def compared(waiting: DataFrame, window: int, gram: int, hot: int, bucket: int) -> DataFrame:
+    """(t1, t2, _more): the repeated spans that come out of the sort."""
     spans, texts = sorted_spans(waiting, window, bucket), waiting
     for width in (max(1, (window - gram) // 8), 1):
         if not texts.where(F.exists("_wanted", lambda w: w["hot"])).limit(1).count():
@@ -532,16 +555,76 @@ def remove_repeats(
             texts = stored(waiting.select("t1", "t2", "data").join(found, ["t1", "t2"]), "hot-texts")
             spans = spans.unionAll(sorted_spans(texts, window, bucket))
     spans = stored(spans, "spans")
-    more = spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("_more"))
-    late = waiting.join(stored(more, "more"), ["t1", "t2"], "left").select(
-        "_row", "data", F.concat("_full", F.coalesce("_more", F.array().cast(SPAN_LIST))).alias("_full")
-    )
-    late = late.mapInArrow(finisher(keep, False, words), f"_row {row_type}, {RESULT}")
-    done = first.where("not _waits").select("_row", *RESULT_TYPES).unionAll(late)
-    return done.select(F.col("_row").alias("row"), *[F.col(c).alias(c[1:]) for c in RESULT_TYPES])
+    return stored(spans.groupBy("t1", "t2").agg(F.collect_list(F.struct("begin", "end")).alias("_more")), "more")
+
+
+def with_more(waiting: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """``waiting`` with all repeated spans, those known before the sort and those from it."""
+    spans = F.concat(F.coalesce("_full", F.array().cast(SPAN_LIST)), F.coalesce("_more", F.array().cast(SPAN_LIST)))
+    return waiting.join(more, ["t1", "t2"], "left").withColumn(name, spans)
+
+
+def remove_repeats(
+    docs: DataFrame,
+    window: int = WINDOW,
+    gram: int = GRAM,
+    keep: str = "bytes",
+    hot: int = HOT,
+    bucket: int = BUCKET,
+    words: int = 0,
+    passages: tuple[int, int, int] | None = None,
+) -> DataFrame:
+    """For each row of ``docs`` (with doc_id and text): ``row``, all its columns but text, ``spans``,
+    ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, as ``keep`` says, the remaining
+    bytes ``kept`` or ``text``.
+
+    With ``words`` a run of repeated bytes goes only if it holds that many whole words (parted by
+    ASCII white space), and from the first of these to the last; ``window`` then has to be
+    shorter than a passage of so many words.
+
+    ``passages`` is a second rule (window, gram, words) beside the first, on the same input:
+    ``n_passages``, ``passage_bytes`` and ``passage_text`` tell what it cuts and leaves.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"), text_bytes(F.col("text")).alias("data"))
+    rows = rows.withColumns({"t1": F.xxhash64("data"), "t2": F.xxhash64(F.lit(7), "data"), "doc_id": F.col("_row.doc_id").cast("long")})
+    fine, fine_gram, passage_words = passages or (window, gram, 0)
+    if fine > window:
+        raise ValueError("the windows of passages must not be longer than those of the first rule")
+    row_type = rows.schema["_row"].dataType.simpleString()
+    columns = ["_row", "t1", "t2", "_full", "_runs", "_wanted", "_waits", "data"]
+    kinds = f"_row {row_type}, t1 long, t2 long, _full {SPAN_LIST}, _runs {SPAN_LIST}, _wanted {WANTED}, _waits boolean, data binary, {RESULT}"
+
+    def step(noted: DataFrame, waits: Column) -> tuple[DataFrame, DataFrame]:
+        """One pass over the texts: (rows that are done, rows that wait)."""
+        noted = noted.withColumn("_waits", F.coalesce(waits, F.lit(False))).select(columns)
+        first = stored(noted.mapInArrow(finisher(keep, True, words, passage_words), kinds), "first")
+        return first.where("not _waits").select("_row", *RESULT_TYPES), first.where("_waits").select(columns)
+
+    found = rows.where(F.octet_length("data") >= fine).select("t1", "t2", "doc_id", "data")
+    noted = with_notes(rows, repeat_notes(found, fine, fine_gram, hot)).withColumn("_runs", F.lit(None).cast(SPAN_LIST))
+    asked = F.size("_wanted") > 0
+    if not passages:
+        done, waiting = step(noted, asked)
+    else:
+        # texts without a repeat are done; of the others only the runs are searched for longer ones
+        done, held = step(noted, F.col("_full").isNotNull())
+        more = compared(held.where(asked), fine, fine_gram, hot, bucket)
+        known = with_more(held, more, "_runs").select("_row", "t1", "t2", F.col("_row.doc_id").cast("long").alias("doc_id"), "data", "_runs")
+        noted = with_notes(known, repeat_notes(known.select("t1", "t2", "doc_id", "data", "_runs"), window, gram, hot))
+        second, waiting = step(noted, asked)
+        done = done.unionAll(second)
+
+    late = with_more(waiting, compared(waiting, window, gram, hot, bucket), "_full").select("_row", "data", "_full", "_runs")
+    done = done.unionAll(late.mapInArrow(finisher(keep, False, words, passage_words), f"_row {row_type}, {RESULT}"))
+    if keep == "text":
+        done = done.withColumn("_passage_text", F.coalesce("_passage_text", "_text"))
+    shown = [c for c in RESULT_TYPES if passages or c not in OF_PASSAGES]
+    return done.select(F.col("_row").alias("row"), *[F.col(c).alias(c[1:]) for c in shown])
 
 
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, keep="text").select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    found = remove_repeats(docs, keep="text", passages=(PASSAGE_WINDOW, PASSAGE_GRAM, PASSAGE_WORDS))
+    contract = ("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    return found.select(*contract, "n_passages", "passage_bytes", "passage_text")

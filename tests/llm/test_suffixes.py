@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -48,6 +49,63 @@ def test_equals_brute_force(spark, window, gram, hot, bucket):
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and r["row"]["data"] == "x" for r in found)
 
 
+def brute_passages(docs, window, words):
+    """(doc_id, passages, their bytes, what is left): runs of repeated windows that hold so many whole words."""
+    datas = [(i, (t or "").encode()) for i, t in docs]
+    seen = Counter(d[k : k + window] for _, d in datas for k in range(len(d) - window + 1))
+    out = []
+    for i, data in datas:
+        cut = np.zeros(len(data) + 2, int)
+        for k in range(len(data) - window + 1):
+            if seen[data[k : k + window]] > 1:
+                cut[k + 1 : k + 1 + window] = 1
+        found = []
+        for a, b in np.flatnonzero(np.diff(cut)).reshape(-1, 2).tolist():
+            whole = [m for m in re.finditer(rb"\S+", data) if a <= m.start() and m.end() <= b]
+            if len(whole) >= words:
+                found.append((whole[0].start(), whole[-1].end()))
+        kept = data
+        for a, b in reversed(found):
+            kept = kept[:a] + kept[b:]
+        out.append((i, len(found), sum(b - a for a, b in found), kept.decode("utf-8", "ignore")))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("window", "gram", "fine", "fine_gram", "hot"), [(40, 20, 24, 12, 256), (40, 20, 20, 8, 3), (24, 12, 24, 12, 256)])
+def test_both_rules_equal_brute_force(spark, window, gram, fine, fine_gram, hot):
+    draw = np.random.default_rng(window + hot)
+    docs = [(i, t and re.sub("d", " ", t) if draw.integers(0, 3) else t) for i, t in mixed(draw)]
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, data string").repartition(3)
+    found = suffixes.remove_repeats(frame, window, gram, "text", hot, 50, passages=(fine, fine_gram, 5)).collect()
+    assert sorted(((r["row"]["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found), key=str) == brute(docs, window)
+    passages = brute_passages(docs, fine, 5)
+    assert sorted(((r["row"]["doc_id"], r["n_passages"], r["passage_bytes"], r["passage_text"]) for r in found), key=str) == passages
+    assert any(p[1] for p in passages)
+
+
+def test_query_cuts_passages_of_over_50_words(spark, folder):
+    """Passages of 45 to 62 words, most of them under 400 bytes; the contract's columns judge 400 bytes alone."""
+    draw = np.random.default_rng(3)
+
+    def prose(n):
+        return " ".join("".join(draw.choice(list("abcdefghij"), 3 + k % 6)) for k in range(n))
+
+    passages = {n: prose(n) for n in range(45, 63)}
+    docs = [(2 * n + k, f"{prose(40)} {p} {prose(30)}") for n, p in passages.items() for k in range(2)]
+    docs += [(k, prose(150)) for k in range(9)] + [(200, docs[0][1]), (201, None), (202, "")]
+    path = folder(documents=[(i, t, "en", "s", len(t or "")) for i, t in docs])
+    found = REGISTRY["op9_suffix_dedup"].run(spark, path).collect()
+    assert sorted((tuple(r)[:5] for r in found), key=str) == brute(docs, 400)
+    assert sorted(((r["doc_id"], r["n_passages"], r["passage_bytes"], r["passage_text"]) for r in found), key=str) == brute_passages(docs, 200, 51)
+    texts = {r["doc_id"]: r["passage_text"] for r in found}
+    short = [n for n in passages if n > 50 and len(passages[n]) < 400]
+    assert len(short) > 5
+    for n, p in passages.items():
+        if n > 45:
+            assert (p in texts[2 * n]) == (p in texts[2 * n + 1]) == (n < 51)
+    assert texts[90] == texts[200] == "" and all(texts[i] == t for i, t in docs if i < 9)
+
+
 def test_blocks_of_a_long_text(monkeypatch):
     draw = np.random.default_rng(6)
     data = bytes(draw.integers(97, 101, 3000, dtype=np.uint8))
