@@ -141,13 +141,14 @@ def context_writer(window: int, gram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [[np.empty(0, np.int64)] for _ in range(6)]
-            limited = "_runs" in batch.schema.names
-            for i, value in enumerate(batch.column("data")):
-                data = value.as_py()
-                pieces = pairs(batch.column("_runs")[i]) if limited else [(0, len(data))]
-                found = [(a, contexts_of(data[a:b], window, gram)) for a, b in joined_spans(pieces) if b - a >= window]
-                if not found:
+            texts = batch.column("data")
+            runs = joined_spans(batch.column("_runs")) if "_runs" in batch.schema.names else ([(0, n)] for n in pc.binary_length(texts).to_pylist())
+            for i, found in enumerate(runs):
+                long = [(a, b) for a, b in found if b - a >= window]
+                if not long:
                     continue
+                data = texts[i].as_py()
+                found = [(a, contexts_of(data[a:b], window, gram)) for a, b in long]
                 first, anchor = (np.concatenate([a + c[k] for a, c in found]) for k in (0, 2))
                 n, key = (np.concatenate([c[k] for _, c in found]) for k in (1, 3))
                 ends = (first + n - 1 + window).tolist()
@@ -384,18 +385,18 @@ def part_writer(window: int, width: int) -> Callable:
     return run
 
 
-def pairs(spans: pa.Scalar) -> list[tuple[int, int]]:
-    return [(s["begin"], s["end"]) for s in spans.as_py() or []]
-
-
-def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def joined_spans(column: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """Of each row the runs that its spans make up together; null counts as none."""
+    at = column.offsets.to_numpy()
+    begins, ends = (column.values.field(c).to_numpy() for c in ("begin", "end"))
+    for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if low == high:
+            yield []
+            continue
+        order = np.argsort(begins[low:high], kind="stable")
+        begin, reach = begins[low:high][order], np.maximum.accumulate(ends[low:high][order])
+        lead = np.flatnonzero(np.append(True, begin[1:] > reach[:-1]))
+        yield list(zip(begin[lead].tolist(), reach[np.append(lead[1:], len(begin)) - 1].tolist(), strict=True))
 
 
 RESULT = (
@@ -421,15 +422,14 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(borders[::2], borders[1::2], strict=True))
 
 
-def passage_result(data: bytes, spans: list[tuple[int, int]], words: int, same: bool) -> dict:
+def passage_result(data: bytes, runs: list[tuple[int, int]], words: int, same: bool) -> dict:
     """The second rule; with ``same`` a text that loses nothing by it is not given again."""
-    found = word_runs(data, joined_spans(spans), words)
+    found = word_runs(data, runs, words)
     text = None if same and not found else without(data, found).decode("utf-8", "ignore")
     return {"_n_passages": len(found), "_passage_bytes": sum(b - a for a, b in found), "_passage_text": text}
 
 
-def result_of(data: bytes, spans: list[tuple[int, int]], keep: str, words: int = 0) -> dict:
-    runs = joined_spans(spans)
+def result_of(data: bytes, runs: list[tuple[int, int]], keep: str, words: int = 0) -> dict:
     if words:
         runs = word_runs(data, runs, words)
     kept = without(data, runs)
@@ -464,8 +464,8 @@ OF_PASSAGES = ("_n_passages", "_passage_bytes", "_passage_text")
 def finisher(keep: str, put_off: bool, words: int = 0, passage_words: int = 0) -> Callable:
     """Apply the spans; with ``put_off`` rows that wait for the sort keep their text instead."""
 
-    def result(data: bytes, spans: list[tuple[int, int]], runs: list[tuple[int, int]]) -> dict:
-        found = NO_RESULT | result_of(data, spans, keep, words)
+    def result(data: bytes, full: list[tuple[int, int]], runs: list[tuple[int, int]]) -> dict:
+        found = NO_RESULT | result_of(data, full, keep, words)
         if passage_words:
             found |= passage_result(data, runs, passage_words, keep == "text" and not found["_spans"])
         return found
@@ -473,8 +473,9 @@ def finisher(keep: str, put_off: bool, words: int = 0, passage_words: int = 0) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             waits = batch.column("_waits").to_pylist() if put_off else [False] * batch.num_rows
-            data, spans, runs = (batch.column(c) for c in ("data", "_full", "_runs"))
-            out = [NO_RESULT if later else result(data[i].as_py(), pairs(spans[i]), pairs(runs[i])) for i, later in enumerate(waits)]
+            data = batch.column("data")
+            known = zip(waits, joined_spans(batch.column("_full")), joined_spans(batch.column("_runs")), strict=True)
+            out = [NO_RESULT if later else result(data[i].as_py(), full, runs) for i, (later, full, runs) in enumerate(known)]
             arrays = [pa.array([o[c] for o in out], t) for c, t in RESULT_TYPES.items()]
             if not put_off:
                 yield pa.record_batch([batch.column("_row"), *arrays], names=["_row", *RESULT_TYPES])
