@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from colloquy.functions import lexicons as L, text as T
+from colloquy.functions import lexicons as L, patterns as J, text as T
 from colloquy.functions.arrays import head, let
 from colloquy.operators import recall as R
 from colloquy.plans import guards as G
@@ -69,13 +69,13 @@ def rebuilt_slot(current: Column, found: Column, rule: SlotRule) -> Column:
         for groups, text in reversed(rule.choices):
             test = F.lit(True)
             for terms in groups:
-                test = test & s["found"].rlike(L.any_text(terms))
+                test = test & s["found"].rlike(J.any_text(terms))
             made = F.when(test, F.lit(text)).otherwise(made)
         low = F.lower(s["now"])
         # a slot without words has no mark that would keep it
-        stays = low.rlike(L.any_text(rule.specific))
+        stays = low.rlike(J.any_text(rule.specific))
         if rule.generic:
-            stays = stays & ~low.rlike(L.any_text(rule.generic))
+            stays = stays & ~low.rlike(J.any_text(rule.generic))
         return F.when(stays, s["now"]).otherwise(F.coalesce(made, F.lit(rule.default)))
 
     return let(F.struct(T.squash(F.coalesce(current, F.lit(""))).alias("now"), found.alias("found")), chosen)
@@ -96,7 +96,7 @@ def polished(
     """Records with ``is_long``; of long ones risks, key points, purpose, outcome and summary are new."""
     c = F.col
     talk = F.coalesce(c("text"), F.lit(""))
-    is_long = (F.length(talk) >= min_chars) | F.lower(talk).rlike(L.any_text(G.LONG_WORDS))
+    is_long = (F.length(talk) >= min_chars) | F.lower(talk).rlike(J.any_text(G.LONG_WORDS))
     out = records.withColumn("is_long", is_long).withColumn("_found", F.when(c("is_long"), evidence()))
     risks = F.coalesce(c("risks"), F.array().cast("array<string>"))
     points = F.coalesce(c("key_points"), F.array().cast("array<string>"))
