@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import lexicons as L, patterns as J, text as T
 from colloquy.functions.arrays import no_blank
-from colloquy.operators import points as P
+from colloquy.operators import commitments as K, points as P, recall as R
 
 ODD = [
     None, "", " ", ".", "...", "The the THE a", "a  b\tc \n d", "uh and so, Priya,  you know , it works .",
@@ -53,6 +53,13 @@ def test_stripped_tokens(same, spark):
     assert "array_except" not in str(T.stripped_tokens(F.col("s")))
 
 
+def test_task_tokens(same, spark):
+    def old(c):
+        return F.array_except(F.array_distinct(no_blank(F.split(c, " "))), literals(L.V3_TASK_STOP))
+
+    same(K.task_tokens, old)
+    assert "array_except" not in str(K.task_tokens(F.col("s")))
+
 
 def test_sentence_clean(same):
     def noise(c):
@@ -111,3 +118,35 @@ def test_word_starts_are_plain():
     for bad in ("ab", r"\ba?b", r"\bab|c", r"\b[ab]"):
         with pytest.raises(ValueError):
             J.any_word_start([bad])
+
+
+def test_decisions(same):
+    def old(c):
+        t = T.clean(c)
+        low = F.lower(t)
+        marks = L.any_of(L.V3_DECISION) + (
+            r"|\b(first pilot audience|target audience)\b.*\b(will be|is|are)\b|\b(demo|live demo)\b.*\b(will use|uses|use)\b"
+            r"|\bbackup meeting\b.*\b(will keep|keep|processed)\b"
+        )
+        against = low.rlike(L.any_of(K.NO_DECISION)) | low.rlike(L.any_of(L.V3_WEAK)) | K.is_goal_like(t)
+        return F.coalesce(~against & (F.length(t) >= 12) & ~low.endswith("?") & low.rlike(marks), F.lit(False))
+
+    same(lambda c: F.coalesce(K.is_decision(c), F.lit(False)), old)
+    # the word test comes before those for what speaks against it
+    said = str(K.is_decision(F.col("s")))
+    assert said.index("we decided") < said.index("we should leave with")
+
+
+def test_soft_stem(same):
+    def old(w):
+        out, done = w, F.lit(False)
+        for suffix in ("ing", "ed", "es", "s"):
+            hit = w.endswith(suffix) & (F.length(w) > len(suffix) + 3)
+            out = F.when(~done & hit, F.substring(w, F.lit(1), F.length(w) - len(suffix))).otherwise(out)
+            done = done | hit
+        return out
+
+    def each(f):
+        return lambda c: F.transform(F.split(c, " "), f)
+
+    same(each(lambda w: R.soft_stem(w)), each(old))
